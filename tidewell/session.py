@@ -23,4 +23,16 @@ def local_session(cores: int | None = None, name: str = "tidewell") -> SparkSess
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return reachable(spark)
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this machine import the package from where the driver has it.
+
+    On a cluster the package is shipped with ``--py-files`` or installed; a path that isn't there does no harm.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
     return spark
