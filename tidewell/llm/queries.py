@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.llm.packing import pack
 from tidewell.llm.shingle_join import shingle_components
+from tidewell.llm.token_counts import count_tokens
 from tidewell.sources.tables import table
 
 
@@ -12,5 +15,17 @@ def op1_shingle_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_components(table(spark, folder, "documents"), words=3, num=9, den=10)
 
 
-QUERIES = {"op1_shingle_jaccard": op1_shingle_jaccard}
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def op4_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=4096, closing=1)
+
+
+QUERIES = {
+    "op1_shingle_jaccard": op1_shingle_jaccard,
+    "op3_token_counts": op3_token_counts,
+    "op4_best_fit": op4_best_fit,
+}
 ORACLES: dict[str, str] = {}
