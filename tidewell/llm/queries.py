@@ -5,11 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.llm.curriculum import mix
 from tidewell.llm.packing import pack
 from tidewell.llm.shingle_join import shingle_components
 from tidewell.llm.token_counts import count_tokens
+from tidewell.llm.url_filters import decide, hosts_with_word
 from tidewell.sources.tables import table
 
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+SPAM_WORDS = ["casino", "free", "ads", "spam", "cheap", "adult"]
+
 
 def op1_shingle_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_components(table(spark, folder, "documents"), words=3, num=9, den=10)
@@ -23,9 +28,35 @@ def op4_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=4096, closing=1)
 
 
+def op6_url_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return decide(pages, URL_RULES, hosts_with_word(pages, SPAM_WORDS))
+
+
+def op9_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents"), weights=(5, 2, 1), budget=1.5, most=2.0)
+
+
 QUERIES = {
     "op1_shingle_jaccard": op1_shingle_jaccard,
     "op3_token_counts": op3_token_counts,
     "op4_best_fit": op4_best_fit,
+    "op6_url_cascade": op6_url_cascade,
+    "op9_curriculum_mix": op9_curriculum_mix,
+}
+ORACLES: dict[str, str] = {
+    "op6_url_cascade": r"""
+WITH u AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+r(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+m AS (
+  SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v
+  FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT u.page_id, host, path, rule,
+       coalesce(v, CASE WHEN regexp_matches(host, '(^|\.)(casino|free|ads|spam|cheap|adult)-') THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN m USING (page_id)
+""",
 }
-ORACLES: dict[str, str] = {}
