@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewell.llm.curriculum import mix
 from tidewell.llm.packing import pack
+from tidewell.llm.quality import fit, held_out, score
 from tidewell.llm.shingle_join import shingle_components
 from tidewell.llm.token_counts import count_tokens
+from tidewell.llm.top_k import top_k
 from tidewell.llm.url_filters import decide, hosts_with_word
 from tidewell.sources.tables import table
 
@@ -28,11 +31,21 @@ def op4_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=4096, closing=1)
 
 
+def op5_subword_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = fit(documents, labels.where(~held_out(F.col("doc_id"))))
+    return score(documents, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_url_cascade(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     return decide(pages, URL_RULES, hosts_with_word(pages, SPAM_WORDS))
 
 
+def op8_uniform_threshold(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings"), every=50, k=5)
+
+
 def op9_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"), weights=(5, 2, 1), budget=1.5, most=2.0)
 
@@ -41,10 +54,22 @@ QUERIES = {
     "op1_shingle_jaccard": op1_shingle_jaccard,
     "op3_token_counts": op3_token_counts,
     "op4_best_fit": op4_best_fit,
+    "op5_subword_quality": op5_subword_quality,
     "op6_url_cascade": op6_url_cascade,
+    "op8_uniform_threshold": op8_uniform_threshold,
     "op9_curriculum_mix": op9_curriculum_mix,
 }
 ORACLES: dict[str, str] = {
+    "op8_uniform_threshold": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[]) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
     "op6_url_cascade": r"""
 WITH u AS (
   SELECT page_id,
