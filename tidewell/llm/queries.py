@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.curriculum import mix
+from tidewell.llm.line_dedup import dedup_lines
 from tidewell.llm.packing import pack
 from tidewell.llm.quality import fit, held_out, score
 from tidewell.llm.shingle_join import shingle_components
@@ -42,6 +43,10 @@ def op6_url_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return decide(pages, URL_RULES, hosts_with_word(pages, SPAM_WORDS))
 
 
+def op7_line_neighbourhood(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_lines(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op8_uniform_threshold(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(table(spark, folder, "embeddings"), every=50, k=5)
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op4_best_fit": op4_best_fit,
     "op5_subword_quality": op5_subword_quality,
     "op6_url_cascade": op6_url_cascade,
+    "op7_line_neighbourhood": op7_line_neighbourhood,
     "op8_uniform_threshold": op8_uniform_threshold,
     "op9_curriculum_mix": op9_curriculum_mix,
 }
