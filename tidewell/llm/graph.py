@@ -11,21 +11,23 @@ from tidewell.llm.common import stash
 def components(edges: DataFrame) -> DataFrame:
     """Columns ``node, component`` (smallest node reachable) for every node of ``edges(a, b)``; isolated nodes don't occur.
 
-    Each round hooks the larger label of every edge to the smaller one and halves the paths, so a chain of n nodes
-    takes about log n rounds. Nulls in edges are ignored, loops and repeated edges change nothing, and no edges give
-    no rows.
+    Each round hooks every node to its smallest smaller neighbour, follows the hooks for a few steps and contracts the edges
+    to what is still apart, so the edges shrink from round to round and a chain of n nodes takes about log n rounds. Nulls
+    in edges are ignored, loops and repeated edges change nothing, and no edges give no rows.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     live = stash(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     label = live.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
-    while True:
-        la = label.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        lb = label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        apart = live.join(la, "a").join(lb, "b").where("ca <> cb").select(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi"))
-        hooks = stash(apart.groupBy("hi").agg(F.min("lo").alias("lo")), "hooks")
-        if hooks.isEmpty():
-            return label
-        for _ in range(3):  # a hook's own target may be hooked further
-            onward = hooks.select(F.col("hi").alias("lo"), F.col("lo").alias("next"))
-            hooks = hooks.join(onward, "lo", "left").select("hi", F.coalesce("next", "lo").alias("lo"))
-        label = stash(label.join(hooks, label.component == hooks.hi, "left").select("node", F.coalesce("lo", "component").alias("component")), "labels")
+    while not live.isEmpty():
+        hooks = live.groupBy("b").agg(F.min("a").alias("to"))
+        for _ in range(3):  # a hook's own target may be hooked further; chains always lead down
+            onward = hooks.select(F.col("b").alias("to"), F.col("to").alias("next"))
+            hooks = stash(hooks.join(onward, "to", "left").select("b", F.coalesce("next", "to").alias("to")), "hooks")
+        label = stash(label.join(hooks, label.component == hooks.b, "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+        ends = live
+        for side in "ab":
+            moved = hooks.select(F.col("b").alias(side), F.col("to").alias("to_" + side))
+            ends = ends.join(moved, side, "left")
+        ends = ends.select(F.coalesce("to_a", "a").alias("x"), F.coalesce("to_b", "b").alias("y")).where("x <> y")
+        live = stash(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    return label

@@ -142,19 +142,30 @@ def _linked(num: int, den: int):
 
 
 def _tile_pairs(num: int, den: int):
-    """Pairs of one block pair that bit counts let pass and that lie in different components."""
+    """Pairs that bit counts let pass and that lie in different components, from many block pairs at once."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pairs(pdf: pd.DataFrame) -> list[tuple[int, int]]:
         left, right = pdf[pdf.side != 1], pdf[pdf.side != 0]  # side 2 is a block met with itself
-        sig_r, n_r = np.array(right.sig.tolist(), dtype=np.int64).view(U64), right.n.to_numpy()
-        node_r, comp_r = right.node.to_numpy(), right.component.to_numpy()
+        sig_l, sig_r = (np.stack(x.sig.to_list()).view(U64) for x in (left, right))
+        n_r, node_r, comp_r = right.n.to_numpy(), right.node.to_numpy(), right.component.to_numpy()
         out = []
-        for node, comp, n, sig in zip(left.node, left.component, left.n, left.sig):
-            apart = np.bitwise_count(sig_r ^ np.asarray(sig, dtype=np.int64).view(U64)).sum(axis=1, dtype=np.int64)
+        for node, comp, n, sig in zip(left.node.tolist(), left.component.tolist(), left.n.tolist(), sig_l):
+            apart = np.bitwise_count(sig_r ^ sig).sum(axis=1, dtype=np.int64)
             most = (n + n_r - apart) // 2
             ok = (most * den >= num * (n + n_r - most)) & (comp_r != comp)
-            out += [(min(node, x), max(node, x)) for x in node_r[ok]]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+            out += [(min(node, x), max(node, x)) for x in node_r[ok].tolist()]
+        return out
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "p", "q"], kind="stable").reset_index(drop=True)
+        names = pdf[["key", "p", "q"]].to_numpy()
+        cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+        out: set[tuple[int, int]] = set()
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            part = pdf.iloc[a:b]
+            if (part.side != 1).any() and (part.side != 0).any():
+                out.update(pairs(part))
+        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -183,36 +194,51 @@ def shingle_components(documents: DataFrame, words: int = 5, num: int = 4, den:
     named = keyed.where("n_shingles > 0")
     nodes = named.groupBy("lo", "hi").agg(F.min("doc_id").alias("node"))
     cells = named.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "lo", "hi")
-    live = cells.groupBy("key").agg(F.min(F.struct("lo", "hi")).alias("hub"), F.max(F.struct("lo", "hi")).alias("other")).where("hub <> other").select("key", "hub")
-    members = cells.join(live, "key").select("key", "lo", "hi", "hub").distinct()
-    of_hub = nodes.select(F.col("lo").alias("hub_lo"), F.col("hi").alias("hub_hi"), F.col("node").alias("hub_node"))
-    members = members.select("key", "lo", "hi", F.col("hub.lo").alias("hub_lo"), F.col("hub.hi").alias("hub_hi"))
-    members = stash(members.join(nodes, ["lo", "hi"]).join(of_hub, ["hub_lo", "hub_hi"]).select("key", "node", F.col("hub_node").alias("hub")), "shingle-cells")
+    live = cells.groupBy("key").agg(F.min(F.struct("lo", "hi")).alias("x"), F.max(F.struct("lo", "hi")).alias("y")).where("x <> y").select("key")
+    members = stash(cells.join(live, "key").distinct().join(nodes, ["lo", "hi"]).select("key", "node"), "shingle-cells")
 
     wanted = members.select("node").distinct()
     texts = docs.join(wanted, docs.doc_id == wanted.node).select("node", "text").dropDuplicates(["node"])
     sets = stash(texts.mapInPandas(_sets(words), _SETS), "shingle-sets")
-    star = members.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    edges = stash(_verify(star, sets, num, den), "shingle-links")
+    hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
+    star = stash(members.join(hubs, "key").where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "shingle-star")
+    # every set is held against its smallest hub first; what that links needs no further look
+    edges = stash(_verify(star.groupBy("b").agg(F.min("a").alias("a")), sets, num, den), "shingle-links")
     comp = components(edges)
-
-    placed = members.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who")).where("x <> y and size > 2")
-    mixed = mixed.groupBy("size", "who").agg(F.min("key").alias("key"))  # equal groups once
-    rest = stash(placed.join(mixed.select("key", "size"), "key"), "shingle-rest")
-    if not rest.isEmpty():
-        edges = stash(edges.unionByName(_verify(_block_pairs(rest, sets, num, den), sets, num, den)), "shingle-links")
-        comp = components(edges)
+    for step in ("star", "blocks"):
+        if step == "star":
+            more = _verify(_apart(star, comp), sets, num, den)
+        else:
+            placed = members.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+            mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who")).where("x <> y and size > 2")
+            mixed = mixed.groupBy("size", "who").agg(F.min("key").alias("key"))  # equal groups once
+            rest = stash(placed.join(mixed.select("key", "size"), "key"), "shingle-rest")
+            if rest.isEmpty():
+                continue
+            more = _verify(_block_pairs(rest, sets, num, den), sets, num, den)
+        found = stash(more, "shingle-links")
+        if not found.isEmpty():
+            edges = edges.unionByName(found)
+            comp = components(edges)
 
     home = nodes.join(comp, "node", "left").select("lo", "hi", F.coalesce("component", "node").alias("component"))
     return keyed.drop("keys").join(home, ["lo", "hi"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    for side in "ab":
+        pairs = pairs.join(comp.toDF(side, f"c_{side}"), side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
+    return pairs.where("c_a <> c_b").select("a", "b")
+
+
 def _block_pairs(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs inside the groups of ``rest`` that bit counts let pass, a pair of blocks to a task."""
+    """Pairs inside the groups of ``rest`` that bit counts let pass; many pairs of blocks share a task."""
     blocks = F.ceil(F.col("size") / BLOCK)
     cut = rest.join(sets.select("node", "n", "sig"), "node").withColumn("blocks", blocks).withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
     met = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", "node", "component", "n", "sig", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), F.when(F.col("block") == F.col("with"), 2).when(F.col("block") < F.col("with"), 0).otherwise(1).alias("side")
     )
-    return met.groupBy("key", "p", "q").applyInPandas(_tile_pairs(num, den), "a long, b long").distinct()
+    tiles = pieces(rest.count(), 10_000)
+    met = met.withColumn("tile", F.pmod(F.xxhash64("key", "p", "q"), F.lit(tiles)))
+    return met.groupBy("tile").applyInPandas(_tile_pairs(num, den), "a long, b long").distinct()
