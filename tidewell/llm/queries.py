@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.curriculum import mix
 from tidewell.llm.line_dedup import dedup_lines
 from tidewell.llm.packing import pack
+from tidewell.llm.pii import find_personal
 from tidewell.llm.quality import fit, held_out, score
 from tidewell.llm.shingle_join import shingle_components
 from tidewell.llm.token_counts import count_tokens
@@ -55,6 +56,10 @@ def op9_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"), weights=(5, 2, 1), budget=1.5, most=2.0)
 
 
+def op10_contextual_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return find_personal(table(spark, folder, "documents")).drop("base", "added")
+
+
 QUERIES = {
     "op1_shingle_jaccard": op1_shingle_jaccard,
     "op3_token_counts": op3_token_counts,
@@ -64,6 +69,7 @@ QUERIES = {
     "op7_line_neighbourhood": op7_line_neighbourhood,
     "op8_uniform_threshold": op8_uniform_threshold,
     "op9_curriculum_mix": op9_curriculum_mix,
+    "op10_contextual_pii": op10_contextual_pii,
 }
 ORACLES: dict[str, str] = {
     "op8_uniform_threshold": """
