@@ -80,7 +80,7 @@ def base_spans(text: Column) -> Column:
 def _pattern(text: Column, start: Column) -> Column:
     """The last two words before a span, lower-cased; null where there are fewer."""
     before = F.substring(text, F.greatest(start - 79, F.lit(1)), F.least(start, F.lit(80)))
-    words = F.filter(F.split(F.lower(before), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(before), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return F.when(F.size(words) >= 2, F.array_join(F.slice(words, -2, 2), " "))
 
 

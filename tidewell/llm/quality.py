@@ -188,3 +188,19 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from training: crc32 of its id as text leaves 1 when divided by 3."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+
+
+def _accepted(weights: np.ndarray, bias: float, columns: list[str]):
+    scored = _scored(weights, bias)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = next(scored(iter([pdf]))).predicted.to_numpy() == 1
+            yield pdf.loc[ok, columns]
+
+    return run
+
+
+def keep_accepted(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+    """The rows of ``documents`` with a score of 0.5 or more, in one pass and without a join."""
+    return documents.mapInPandas(_accepted(*model, documents.columns), documents.schema)

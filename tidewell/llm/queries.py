@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.curriculum import mix
 from tidewell.llm.line_dedup import dedup_lines
+from tidewell.llm.media import text_media
 from tidewell.llm.packing import pack
 from tidewell.llm.pii import find_personal
 from tidewell.llm.quality import fit, held_out, score
@@ -25,6 +27,10 @@ def op1_shingle_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_components(table(spark, folder, "documents"), words=3, num=9, den=10)
 
 
+def op2_jpeg_media(spark: SparkSession, folder: str) -> DataFrame:
+    return text_media(table(spark, folder, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -62,6 +68,7 @@ def op10_contextual_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_shingle_jaccard": op1_shingle_jaccard,
+    "op2_jpeg_media": op2_jpeg_media,
     "op3_token_counts": op3_token_counts,
     "op4_best_fit": op4_best_fit,
     "op5_subword_quality": op5_subword_quality,
@@ -70,6 +77,7 @@ QUERIES = {
     "op8_uniform_threshold": op8_uniform_threshold,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_contextual_pii": op10_contextual_pii,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op8_uniform_threshold": """
@@ -97,3 +105,5 @@ SELECT u.page_id, host, path, rule,
 FROM u LEFT JOIN m USING (page_id)
 """,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
