@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Labels that stand for no instruction, and words for numbers.
 QUALITY_LABELS = ["qualified", "unqualified", "null", "none", ""]
@@ -173,7 +174,7 @@ def margin_range(lo: Column, hi: Column) -> Column:
     return F.struct((lo - pad).alias("lo"), (hi + pad).alias("hi"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def parse_steps(raw: pd.Series) -> pd.Series:
     """Steps from a JSON list, a Python literal or plain text; null for anything else. Smart quotes are read as plain ones."""
     table = str.maketrans("“”‘’，", "\"\"'',")
@@ -195,7 +196,7 @@ def parse_steps(raw: pd.Series) -> pd.Series:
     return raw.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_object(raw: pd.Series) -> pd.Series:
     """The first balanced JSON object in a model's answer, without its thinking and code fences; null if there is none."""
     import re
