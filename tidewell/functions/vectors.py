@@ -126,7 +126,7 @@ def sin_cos(v: Column) -> Column:
 def noisy(v: Column, key: Column, scale: float, seed: int, lo: Column, hi: Column) -> Column:
     """``v`` with seeded uniform noise of +-``scale`` by dimension, clipped to [lo, hi]; the same rows give the same noise."""
     moved = F.transform(v, lambda x, i: x + scale * (2 * uniform(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), i.cast("string"))) - 1))
-    return F.zip_with(F.zip_with(moved, lo, F.greatest), hi, F.least)
+    return F.zip_with(F.zip_with(moved, lo, lambda x, y: F.greatest(x, y)), hi, lambda x, y: F.least(x, y))
 
 
 def dropout(v: Column, key: Column, share: float, seed: int) -> Column:

@@ -97,13 +97,23 @@ def datasets_at_depth(spark: SparkSession, root: str, depth: int) -> DataFrame:
 
 
 def bad_files(spark: SparkSession, root: str, first: int | None = None) -> DataFrame:
-    """``path, reason`` for Parquet files that are empty or lack the format's marks at their start and end."""
+    """``path, reason`` for Parquet files that are empty or lack the format's marks at their start and end.
+
+    Spark's scans pass over files without bytes, so these come from the store's listing, by name and length only.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
     if first is not None:
         files = files.orderBy("path").limit(first)
     mark = F.lit(b"PAR1")
     sound = (F.substring("content", 1, 4) == mark) & (F.substring("content", -4, 4) == mark)
-    return files.select("path", F.when(F.col("length") == 0, "empty file").when((F.col("length") < 12) | ~sound, "unreadable footer").alias("reason")).where("reason IS NOT NULL")
+    broken = files.select("path", F.when((F.col("length") < 12) | ~sound, "unreadable footer").alias("reason")).where("reason IS NOT NULL")
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listed, empty = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True), []
+    while listed.hasNext():
+        file = listed.next()
+        if file.getLen() == 0 and file.getPath().getName().endswith(".parquet"):
+            empty.append((file.getPath().toString(), "empty file"))
+    return broken.unionByName(spark.createDataFrame(empty, "path STRING, reason STRING"))
 
 
 def shift_times(frames: DataFrame, episodes: DataFrame, key: str = "episode_index") -> DataFrame:

@@ -39,7 +39,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
 def upsert_into(path: str, key: str, order: str):
     """A ``foreachBatch`` function that keeps the last row per key under ``path``: a batch that is run again changes nothing.
 
-    Batches are folders named by their number; ``current`` reads the newest row of each key from all of them.
+    Batches are folders named by their number; ``current`` reads the row of each key that is last in ``order`` from all of them, whatever batch it came with.
     """
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -53,7 +53,7 @@ def upsert_into(path: str, key: str, order: str):
 def current(spark: SparkSession, path: str, key: str, order: str) -> DataFrame:
     rows = spark.read.parquet(path)
     rest = [c for c in rows.columns if c not in (key, "batch")]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col("batch"), F.col(order))).alias("_r")).select(key, "_r.*")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col(order), F.col("batch"))).alias("_r")).select(key, "_r.*")
 
 
 def sample_by_interval(events: DataFrame, seconds: float) -> DataFrame:
