@@ -3,12 +3,14 @@
 Every text becomes its set of word shingles. Sizes fall into bands whose limits grow by 1 / threshold, so linked sets lie
 in one band or in two neighbours; a *tile* is such a pair of bands. Linked sets of a tile differ in at most ``d`` elements,
 which the tile's largest sizes bound. Each set is cut by hash range into ``d + 1 + spare`` cells, so at least ``spare + 1``
-cells are equal in both: equal cells are found by one aggregation over (tile, cell, content). Among the sets of a live cell
-the bit counts of 512-bit signatures bound the overlap from above, and only what passes is intersected exactly. Empty cells
+cells are equal in both: equal cells are found
+by one exchange of their 6-byte keys, packed by part of the key space and grouped by a sort in numpy. Among the sets of a live cell
+the bit counts of 2048-bit signatures bound the overlap from above, and only what passes is intersected exactly. Empty cells
 prove nothing and give no key, unless a set has more of them than ``spare``; then they do, so no link is lost.
 
 Sets in one cell are compared with its smallest member first. What that leaves in different components is compared in
-blocks of at most ``2 * BLOCK`` members, on bitmaps, so no group has to fit into one task and no list of all pairs is made.
+blocks of at most ``2 * BLOCK`` members, on bitmaps and then exactly, and only links that join components leave a block: no
+group has to fit into one task and no list of all pairs is made.
 Equal sets are handled once whatever the number of copies.
 
 Null and empty texts, and texts of white space only, have empty sets and no links. Ties do not arise: a component is named
@@ -30,9 +32,11 @@ from tidewell.llm.common import doc_text, pieces, stash
 from tidewell.llm.graph import components
 from tidewell.llm.textkit import U64, mix, shingle_sets
 
-SIGNATURE_WORDS = 8  # 512 bits
+SIGNATURE_WORDS = 32  # 2048 bits
 BLOCK = 1024
-_KEYS = "doc_id long, n_shingles long, lo long, hi long, keys array<long>"
+HELD_KEYS = 2_000_000
+_LOW = U64((1 << 48) - 1)
+_KEYS = "doc_id long, n_shingles long, lo long, hi long, part int, cells binary"
 _SETS = "node long, n long, sig array<long>, shingles binary"
 
 
@@ -98,25 +102,77 @@ def _name(s: np.ndarray) -> tuple[int, int]:
     return int(lo.view(np.int64)), int(hi.view(np.int64))
 
 
-def _keyed(words: int, num: int, den: int):
+def _keyed(words: int, num: int, den: int, parts: int):
+    """A row per document with its set's name, and rows of packed cell keys for each of ``parts`` parts of the key space."""
+
+    def packed(names: list[int], keys: list[np.ndarray]) -> pd.DataFrame:
+        sizes = [len(k) for k in keys]
+        flat, owner = np.concatenate(keys), np.repeat(np.array(names, dtype=np.int64), sizes)
+        part = (((flat >> U64(48)) * U64(parts)) >> U64(16)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        flat, owner, part = flat[order], owner[order], part[order]
+        edge = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        rows = []
+        for a, b in zip(edge[:-1], edge[1:]):
+            first = np.flatnonzero(np.concatenate(([True], owner[a + 1 : b] != owner[a : b - 1])))
+            runs = np.diff(np.append(first, b - a)).astype("<u4")
+            low = (flat[a:b] & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            rows.append((int(part[a]), len(first).to_bytes(4, "little") + owner[a:b][first].astype("<i8").tobytes() + runs.tobytes() + low.tobytes()))
+        out = pd.DataFrame(rows, columns=["part", "cells"])
+        return out.reindex(columns=["doc_id", "n_shingles", "lo", "hi", "part", "cells"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tiles, seen = Tiles(num, den), OrderedDict()
+        names, keys, held = [], [], 0
         for pdf in batches:
             rows = []
             for doc_id, s in zip(pdf.doc_id, shingle_sets(pdf.text.tolist(), words)):
                 name = _name(s)
-                keys = np.empty(0, dtype=np.int64)
+                rows.append((doc_id, len(s), *name))
                 if len(s) and name not in seen:  # copies met before in this task have the same keys
-                    keys = tiles.keys(s).view(np.int64)
+                    names.append(name[0])
+                    keys.append(tiles.keys(s))
+                    held += len(keys[-1])
                     seen[name] = None
                     if len(seen) > 50_000:
                         seen.popitem(last=False)
-                rows.append((doc_id, len(s), *name, keys))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "lo", "hi", "keys"])
+                    if held >= HELD_KEYS:
+                        yield packed(names, keys)
+                        names, keys, held = [], [], 0
+            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "lo", "hi"])
+            yield out.reindex(columns=["doc_id", "n_shingles", "lo", "hi", "part", "cells"])
+        if names:
+            yield packed(names, keys)
 
     return run
 
 
+def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``key, lo`` for the cells of this task's parts that two or more different sets share."""
+    keys, owners = [], []
+    for pdf in batches:
+        for part, blob in zip(pdf.part, pdf.cells):
+            n = int.from_bytes(blob[:4], "little")
+            names = np.frombuffer(blob, dtype="<i8", count=n, offset=4)
+            runs = np.frombuffer(blob, dtype="<u4", count=n, offset=4 + 8 * n)
+            low = np.zeros((int(runs.sum()), 8), dtype=np.uint8)
+            low[:, :6] = np.frombuffer(blob, dtype=np.uint8, offset=4 + 12 * n).reshape(-1, 6)
+            keys.append(low.view("<u8").ravel() | (U64(part & 0xFFFF) << U64(48)))
+            owners.append(np.repeat(names, runs))
+    if not keys:
+        return
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    keys.clear(), owners.clear()
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    same = key[1:] == key[:-1]
+    shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    found = pd.DataFrame({"key": key[shared].view(np.int64), "lo": owner[order[shared]]}).drop_duplicates()
+    found = found[found.duplicated("key", keep=False)]  # the same set from two tasks is no meeting
+    for at in range(0, len(found), 100_000):
+        yield found.iloc[at : at + 100_000]
+
+
 def _sets(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -126,34 +182,51 @@ def _sets(words: int):
     return run
 
 
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")  # two sorted runs are merged
+    return int((both[1:] == both[:-1]).sum())
+
+
 def _linked(num: int, den: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = []
             for x, y in zip(pdf.shingles_a, pdf.shingles_b):
                 x, y = np.frombuffer(x, dtype=U64), np.frombuffer(y, dtype=U64)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                inter = int((both[1:] == both[:-1]).sum())
+                inter = _overlap(x, y)
                 keep.append(inter * den >= num * (len(x) + len(y) - inter))
             yield pdf.loc[keep, ["a", "b"]]
 
     return run
 
 
-def _tile_pairs(num: int, den: int):
-    """Pairs that bit counts let pass and that lie in different components, from many block pairs at once."""
+def _tile_links(num: int, den: int):
+    """Links between different components inside many block pairs; what is joined here already is passed over."""
+
+    def links(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple[int, int]]:
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
 
-    def pairs(pdf: pd.DataFrame) -> list[tuple[int, int]]:
-        left, right = pdf[pdf.side != 1], pdf[pdf.side != 0]  # side 2 is a block met with itself
         sig_l, sig_r = (np.stack(x.sig.to_list()).view(U64) for x in (left, right))
-        n_r, node_r, comp_r = right.n.to_numpy(), right.node.to_numpy(), right.component.to_numpy()
+        n_r, node_r, comp_r, sets_r = right.n.to_numpy(), right.node.tolist(), right.component.to_numpy(), right.shingles.tolist()
         out = []
-        for node, comp, n, sig in zip(left.node.tolist(), left.component.tolist(), left.n.tolist(), sig_l):
+        for node, comp, n, raw, sig in zip(left.node.tolist(), left.component.tolist(), left.n.tolist(), left.shingles, sig_l):
             apart = np.bitwise_count(sig_r ^ sig).sum(axis=1, dtype=np.int64)
             most = (n + n_r - apart) // 2
-            ok = (most * den >= num * (n + n_r - most)) & (comp_r != comp)
-            out += [(min(node, x), max(node, x)) for x in node_r[ok].tolist()]
+            mine = np.frombuffer(raw, dtype=U64)
+            for k in np.flatnonzero((most * den >= num * (n + n_r - most)) & (comp_r != comp)).tolist():
+                x, y = top(comp), top(int(comp_r[k]))
+                if x != y:
+                    inter = _overlap(mine, np.frombuffer(sets_r[k], dtype=U64))
+                    if inter * den >= num * (n + int(n_r[k]) - inter):
+                        root[max(x, y)] = min(x, y)
+                        out.append((min(node, node_r[k]), max(node, node_r[k])))
         return out
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -163,8 +236,9 @@ def _tile_pairs(num: int, den: int):
         out: set[tuple[int, int]] = set()
         for a, b in zip(cuts[:-1], cuts[1:]):
             part = pdf.iloc[a:b]
-            if (part.side != 1).any() and (part.side != 0).any():
-                out.update(pairs(part))
+            left, right = part[part.side != 1], part[part.side != 0]  # side 2 is a block met with itself
+            if len(left) and len(right):
+                out.update(links(left, right))
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
     return run
@@ -190,12 +264,13 @@ def shingle_components(documents: DataFrame, words: int = 5, num: int = 4, den:
     Two documents are linked when ``den * |A & B| >= num * |A | B|`` over their sets of distinct ``words``-word shingles.
     """
     docs = doc_text(documents)
-    keyed = stash(docs.mapInPandas(_keyed(words, num, den), _KEYS), "shingle-keys")
+    parts = pieces(docs.count(), 4_000)
+    stored = stash(docs.mapInPandas(_keyed(words, num, den, parts), _KEYS), "shingle-keys")
+    keyed = stored.where("doc_id is not null").select("doc_id", "n_shingles", "lo", "hi")
     named = keyed.where("n_shingles > 0")
     nodes = named.groupBy("lo", "hi").agg(F.min("doc_id").alias("node"))
-    cells = named.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "lo", "hi")
-    live = cells.groupBy("key").agg(F.min(F.struct("lo", "hi")).alias("x"), F.max(F.struct("lo", "hi")).alias("y")).where("x <> y").select("key")
-    members = stash(cells.join(live, "key").distinct().join(nodes, ["lo", "hi"]).select("key", "node"), "shingle-cells")
+    cells = stored.where("part is not null").select("part", "cells").repartition(parts, "part").mapInPandas(_met, "key long, lo long")
+    members = stash(cells.join(nodes, "lo").select("key", "node"), "shingle-cells")
 
     wanted = members.select("node").distinct()
     texts = docs.join(wanted, docs.doc_id == wanted.node).select("node", "text").dropDuplicates(["node"])
@@ -215,14 +290,14 @@ def shingle_components(documents: DataFrame, words: int = 5, num: int = 4, den:
             rest = stash(placed.join(mixed.select("key", "size"), "key"), "shingle-rest")
             if rest.isEmpty():
                 continue
-            more = _verify(_block_pairs(rest, sets, num, den), sets, num, den)
+            more = _block_links(rest, sets, num, den)
         found = stash(more, "shingle-links")
         if not found.isEmpty():
             edges = edges.unionByName(found)
             comp = components(edges)
 
     home = nodes.join(comp, "node", "left").select("lo", "hi", F.coalesce("component", "node").alias("component"))
-    return keyed.drop("keys").join(home, ["lo", "hi"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return keyed.join(home, ["lo", "hi"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -232,13 +307,13 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return pairs.where("c_a <> c_b").select("a", "b")
 
 
-def _block_pairs(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs inside the groups of ``rest`` that bit counts let pass; many pairs of blocks share a task."""
+def _block_links(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links inside the groups of ``rest`` that join components; many pairs of blocks share a task."""
     blocks = F.ceil(F.col("size") / BLOCK)
-    cut = rest.join(sets.select("node", "n", "sig"), "node").withColumn("blocks", blocks).withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
+    cut = rest.join(sets, "node").withColumn("blocks", blocks).withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
     met = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "node", "component", "n", "sig", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), F.when(F.col("block") == F.col("with"), 2).when(F.col("block") < F.col("with"), 0).otherwise(1).alias("side")
+        "key", "node", "component", "n", "sig", "shingles", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), F.when(F.col("block") == F.col("with"), 2).when(F.col("block") < F.col("with"), 0).otherwise(1).alias("side")
     )
-    tiles = pieces(rest.count(), 10_000)
+    tiles = pieces(rest.count(), 4_000)
     met = met.withColumn("tile", F.pmod(F.xxhash64("key", "p", "q"), F.lit(tiles)))
-    return met.groupBy("tile").applyInPandas(_tile_pairs(num, den), "a long, b long").distinct()
+    return met.groupBy("tile").applyInPandas(_tile_links(num, den), "a long, b long").distinct()
