@@ -3,8 +3,8 @@
 Documents are turned into ids and a closing id; longer ones are cut into pieces of ``length`` ids. Pieces are dealt by hash
 to streams. A stream is packed online and in bounded space: it has ``open_bins`` open sequences, kept in buckets by free
 space with a bitset over the non-empty ones, so the tightest fit is a bit operation. When no open sequence fits and none
-may be opened, the fullest closes first. A window of pieces waits before the bins and leaves it longest first, which a
-bounded buffer allows and which packs tighter than arrival order.
+may be opened, the fullest closes first. A window of pieces, smaller than the number of bins, waits before them and leaves longest
+first, which a bounded buffer allows and which packs tighter than arrival order.
 
 A null or empty text is one piece with the closing id alone. Repeated rows are packed as often as they come; pieces of one
 document carry its ``doc_id`` and a number from 0.
@@ -105,7 +105,7 @@ def _packed(length: int, open_bins: int, window: int):
     return run
 
 
-def pack(documents: DataFrame, path: str, length: int = 4096, closing: int = 1, open_bins: int = 512, window: int = 20_000) -> DataFrame:
+def pack(documents: DataFrame, path: str, length: int = 4096, closing: int = 1, open_bins: int = 8192, window: int = 4096) -> DataFrame:
     """Columns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``, a row for each piece."""
     cut = doc_text(documents).mapInPandas(_cut(path, length, closing), _PIECES)
     cut = stash(cut, "pieces")  # ids are made once; what is dealt below is some 40 bytes a piece
