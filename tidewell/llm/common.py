@@ -34,3 +34,11 @@ def pieces(rows: int, per_piece: int, most: int = 20_000) -> int:
 def doc_text(df: DataFrame) -> DataFrame:
     """The two columns that whole-text operators read."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it while ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

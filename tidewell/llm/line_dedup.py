@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import stash
+from tidewell.llm.common import stash, unused
 
 _GAP = r"[\x20\x09-\x0D]+"
 
@@ -97,11 +97,12 @@ def within_one(a: Column, b: Column) -> Column:
 
 
 def dedup_lines(documents: DataFrame, exact_words: int = 5, near_words: int = 8) -> DataFrame:
-    """The rows of ``documents`` with their redundant lines taken out of ``text``, and ``n_lines, n_dropped`` added."""
-    gone = stash(dropped_lines(documents, exact_words, near_words), "dropped").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("pos").alias("_gone"))
-    rows = documents.join(gone, documents.doc_id == gone._doc, "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    """The rows of ``documents`` with their redundant lines taken out of ``text``, and ``n_lines, n_dropped`` set."""
+    doc, out = unused(documents, "_doc"), unused(documents, "_gone")
+    gone = stash(dropped_lines(documents, exact_words, near_words), "dropped").groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("pos").alias(out))
+    rows = documents.join(gone, documents["doc_id"] == gone[doc], "left")
+    lines, some = F.split("text", "\n", -1), F.col(out).isNotNull()
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(out), i)), "\n")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    rows = rows.withColumns({"n_lines": n, "n_dropped": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")})
-    return rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).drop("_doc", "_gone")
+    rows = rows.withColumns({"n_lines": n, "n_dropped": F.when(some, F.size(out)).otherwise(0).cast("long")})
+    return rows.withColumn("text", F.when(some, kept).otherwise(F.col("text"))).drop(doc, out)

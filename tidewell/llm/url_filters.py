@@ -68,6 +68,8 @@ class Cascade:
 
     def attach(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the levels' bits as columns, which ``contains`` reads; drop them by selecting others."""
+        if not self.levels:
+            return rows
         return rows.withColumns({f"_bits{k}": words.scalar() for k, (words, _) in enumerate(self.levels)})
 
     def contains(self, key: Column) -> Column:
