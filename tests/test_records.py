@@ -84,3 +84,16 @@ def test_small_tables(spark):
     assert stats.without_repeats(twice, "n").head().weight == 5
     with pytest.raises(ValueError, match="match by equality"):
         joins.match_names(spark.createDataFrame([("a",)], "name string"), spark.range(10_001).selectExpr("string(id) AS key", "id AS pos"))
+
+
+def test_report_order_and_guards(spark):
+    from tidewell.operators import quality, reports, scoring
+
+    rows = spark.createDataFrame([("capability", "x", 3), ("answer_type", "number", 9), ("answer_type", "yes_no", 1), ("overall", "all", 5), ("capability", "y", 4)], "dimension string, value string, total int")
+    assert [r.value for r in reports.in_report_order(rows, ["yes_no", "number"]).collect()] == ["all", "yes_no", "number", "y", "x"]
+    assert reports.without_summaries(spark.createDataFrame([("summary",), (None,), ("row",)], "_type string")).count() == 2
+    with pytest.raises(ValueError, match="grippers"):
+        quality.comparable_slots(["left_joint", "left_gripper"])
+    assert quality.comparable_slots("right_eef") == ["right_eef"]
+    got = spark.range(1).select(text.instruction_from_id(F.lit("pickUp_redCup_012")), scoring.facts_field(F.lit('{"atomic_facts": [1]}')), scoring.listed_in_order(F.array(*map(F.lit, scoring.CAPABILITIES)))).head()
+    assert tuple(got) == ("pick up red cup", "[1]", True)

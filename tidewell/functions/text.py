@@ -228,3 +228,9 @@ def json_object(raw: pd.Series) -> pd.Series:
         return None
 
     return raw.map(one)
+
+
+def instruction_from_id(sample_id: Column) -> Column:
+    """A readable instruction from an id such as ``pickUp_redCup_012``: number off, words apart, lower case."""
+    name = F.regexp_replace(sample_id, r"[_-]?\d+$", "")
+    return F.lower(squeeze(F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1 $2"), r"[_-]+", " ")))

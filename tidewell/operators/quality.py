@@ -90,3 +90,11 @@ def distribution(df: DataFrame, column: str, finite_only: bool = True) -> DataFr
         F.count(value).alias("n"), F.count_if(F.abs(x) == float("inf")).alias("n_inf"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.stddev_pop(value).alias("std"),
         F.min(value).alias("min"), F.max(value).alias("max"), *[F.percentile(value, F.lit(p / 100)).alias(f"p{p}") for p in (90, 95, 99)],
     )
+
+
+def comparable_slots(slots: str | list[str]) -> list[str]:
+    """Slots to compare as a list; grippers aren't compared and are refused."""
+    found = [slots] if isinstance(slots, str) else list(slots)
+    if wrong := [s for s in found if "gripper" in s]:
+        raise ValueError(f"grippers can't be compared: {wrong}")
+    return found

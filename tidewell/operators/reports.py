@@ -83,3 +83,14 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     ties = counts.agg(F.sum(F.expr("CAST(t AS DOUBLE) * t * t - t")).alias("ties"))
     h = 12 / (F.col("N") * (F.col("N") + 1.0)) * F.col("s") - 3 * (F.col("N") + 1)
     return total.withColumn("ties", ties.scalar()).select(F.round(h / (1 - F.col("ties") / (F.expr("CAST(N AS DOUBLE) * N * N - N"))), 6).alias("h"))
+
+
+def in_report_order(rows: DataFrame, fixed: list[str]) -> DataFrame:
+    """An accuracy report as it is read: overall first, answer types in a fixed order, the rest by size."""
+    place = F.array_position(F.array(*map(F.lit, fixed)), F.col("value"))
+    group = F.when(F.col("dimension") == "overall", 0).when(F.col("dimension") == "answer_type", 1).otherwise(2)
+    return rows.orderBy(group, F.when(group == 1, place), "dimension", F.desc("total"), "value")
+
+
+def without_summaries(rows: DataFrame, kind: str = "_type") -> DataFrame:
+    return rows.where(F.coalesce(F.col(kind), F.lit("")) != "summary")

@@ -93,3 +93,13 @@ def work_list(samples: DataFrame, done: DataFrame, capabilities: list[str] = CAP
 def complete_samples(results: DataFrame, capabilities: list[str] = CAPABILITIES) -> DataFrame:
     """Samples for which every capability has a result; one error makes the sample an error."""
     return results.groupBy("sample_id").agg(F.count_distinct("capability").alias("n"), F.bool_or("error").alias("error")).where(F.col("n") == len(capabilities)).select("sample_id", F.when(F.col("error"), "error").otherwise("ok").alias("status"))
+
+
+def facts_field(raw: Column, names: tuple[str, ...] = ("gt_atomic_facts", "atomic_facts", "facts", "caption_atomic_facts")) -> Column:
+    """The facts of a judge's JSON answer, whichever of the usual names it gives them."""
+    return F.coalesce(*[F.get_json_object(raw, f"$.{n}") for n in names])
+
+
+def listed_in_order(capabilities: Column, wanted: list[str] = CAPABILITIES) -> Column:
+    """Whether exactly the wanted capabilities are listed, in their order."""
+    return capabilities == F.array(*map(F.lit, wanted))
