@@ -80,6 +80,40 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
+    "op1_shingle_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+d AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM d a JOIN d b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id FROM r LEFT JOIN n ON n.doc_id = a GROUP BY a
+""",
+    "op7_line_neighbourhood": r"""
+WITH x AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (
+  SELECT doc_id, pos, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda v: v <> '') AS w
+  FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM x)),
+f AS (SELECT w, len(w) AS n, min({'doc_id': doc_id, 'pos': pos}) AS first FROM l WHERE len(w) >= 5 GROUP BY w),
+h AS (
+  SELECT w, n, first, m, unnest([array_to_string(w[1:m // 2], ' ') || ' <', '> ' || array_to_string(w[n - m + m // 2 + 1:n], ' ')]) AS half
+  FROM (SELECT *, unnest([n, n - 1]) AS m FROM f WHERE n >= 8)),
+c AS (SELECT DISTINCT a.w AS a, b.w AS b FROM h a JOIN h b ON a.m = b.m AND a.half = b.half AND b.first < a.first),
+k AS (
+  SELECT a, coalesce(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]), false) - 1, least(len(a), len(b))) AS head,
+         coalesce(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[-i] = b[-i]), false) - 1, least(len(a), len(b))) AS tail, greatest(len(a), len(b)) AS n FROM c),
+near AS (SELECT DISTINCT a AS w FROM k WHERE head + tail >= n - 1),
+gone AS (
+  SELECT doc_id, list(pos) AS gone FROM l JOIN f ON l.w = f.w LEFT JOIN near ON near.w = l.w
+  WHERE near.w IS NOT NULL OR first <> {'doc_id': doc_id, 'pos': pos} GROUP BY doc_id)
+SELECT x.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(lines) END AS n_lines, coalesce(len(gone), 0) AS n_dropped,
+       CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(lines, lambda v, i: NOT list_contains(gone, i - 1)), chr(10)) END AS text
+FROM x LEFT JOIN gone ON x.doc_id = gone.doc_id
+""",
     "op8_uniform_threshold": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
