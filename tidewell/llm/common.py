@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +47,30 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def slabs(batches: Iterator[pd.DataFrame], column: str = "text", most: int = 2 << 20) -> Iterator[pd.DataFrame]:
+    """Arrow batches cut to about ``most`` characters of ``column``, a row at least; memory goes back between them.
+
+    A batch has thousands of rows however long their texts are, and an executor runs several Python workers.
+    """
+    for pdf in batches:
+        ends = np.cumsum([len(t) if t is not None else 0 for t in pdf[column]])
+        at = 0
+        while at < len(pdf):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield pdf.iloc[at:end]
+            at = end
+        del pdf
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the system, where its allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+_libc = ctypes.CDLL(None)

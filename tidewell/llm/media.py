@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm import jpeg
-from tidewell.llm.common import doc_text
+from tidewell.llm.common import doc_text, slabs
 
 SLAB = 1 << 20
 _OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int"
@@ -56,7 +56,7 @@ def _features(files: list[bytes | None]) -> list[tuple]:
 
 
 def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    for pdf in slabs(batches):
         raws = [payload_of(t.encode("utf-8", "surrogatepass") if t else b"") for t in pdf.text]
         for a, b in _slabs(raws):
             yield pd.DataFrame({"doc_id": pdf.doc_id.iloc[a:b], "media": jpeg.write(raws[a:b])})
@@ -84,7 +84,7 @@ def media_features(files: DataFrame, name: str = "media_id", content: str = "med
 
 
 def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    for pdf in slabs(batches):
         ids = pdf.doc_id.tolist()
         raws = [t.encode("utf-8", "surrogatepass") if t else b"" for t in pdf.text]
         for a, b in _slabs(raws):

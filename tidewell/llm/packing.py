@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import doc_text, pieces, stash
+from tidewell.llm.common import doc_text, pieces, stash, slabs
 from tidewell.llm.transducer import transducer
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -69,7 +69,7 @@ class BestFit:
 def _cut(path: str, length: int, closing: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = transducer(path)
-        for pdf in batches:
+        for pdf in slabs(batches):
             rows = []
             for doc_id, ids in zip(pdf.doc_id, machine.run(pdf.text.tolist(), ids=True)):
                 ids = np.append(ids, closing).astype("<u4")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import doc_text
+from tidewell.llm.common import doc_text, slabs
 from tidewell.llm.textkit import U64, mix
 
 _GRAMS = (3, 4)
@@ -36,7 +36,7 @@ class Features:
     def __init__(self, buckets: int) -> None:
         self.buckets = buckets
 
-    def rows(self, texts: list[str | None], slab: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def rows(self, texts: list[str | None], slab: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per slab of texts: the text's place and the bucket of every feature occurrence, as two arrays."""
         at = 0
         while at < len(texts):
@@ -129,7 +129,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def _featured(buckets: int, most: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features(buckets)
-        for pdf in batches:
+        for pdf in slabs(batches):
             out = []
             for place, bucket in features.rows(pdf.text.tolist()):
                 order = np.argsort(place, kind="stable")
@@ -146,7 +146,7 @@ def _featured(buckets: int, most: int):
     return run
 
 
-def fit(documents: DataFrame, labels: DataFrame, train_rows: int = 6000, train_features: int = 4000, buckets: int = 1 << 18, width: int = 8, epochs: int = 4, rate: float = 3.0, seed: int = 5) -> tuple[np.ndarray, float]:
+def fit(documents: DataFrame, labels: DataFrame, train_rows: int = 5000, train_features: int = 3000, buckets: int = 1 << 18, width: int = 8, epochs: int = 4, rate: float = 3.0, seed: int = 5) -> tuple[np.ndarray, float]:
     """The scoring weights learned from ``labels(doc_id, quality)``, of which the caller keeps held-out rows away."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").dropDuplicates(["doc_id"])
     marked = marked.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(train_rows)
@@ -168,7 +168,7 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = 6000, train_f
 def _scored(weights: np.ndarray, bias: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features(len(weights))
-        for pdf in batches:
+        for pdf in slabs(batches):
             total, count = np.zeros(len(pdf)), np.zeros(len(pdf))
             for place, bucket in features.rows(pdf.text.tolist()):
                 total += np.bincount(place, weights[bucket], len(pdf))
@@ -194,7 +194,7 @@ def _accepted(weights: np.ndarray, bias: float, columns: list[str]):
     scored = _scored(weights, bias)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slabs(batches):
             ok = next(scored(iter([pdf]))).predicted.to_numpy() == 1
             yield pdf.loc[ok, columns]
 

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tidewell.llm.common import doc_text
+from tidewell.llm.common import doc_text, slabs
 from tidewell.llm.transducer import Transducer, transducer
 
 _counters: dict[str, Callable[[list], list[int]]] = {}
@@ -45,7 +45,7 @@ def counter(path: str) -> Callable[[list], list[int]]:
 def _counted(path: str, limit: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = counter(path)
-        for pdf in batches:
+        for pdf in slabs(batches):
             texts = pdf.text.tolist()
             n = pd.Series(count(texts), dtype="int64")
             size = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]

@@ -23,8 +23,8 @@ import unicodedata
 import numpy as np
 
 CHUNK = 1024
-SLAB = 2 << 20
-MAX_CELLS = 20_000_000
+SLAB = 1 << 20
+MAX_CELLS = 16_000_000
 LONG_PIECE = 2048
 NONE = 65535  # no token yet; larger vocabularies aren't supported
 
@@ -232,7 +232,7 @@ class Transducer:
             rank, rights = self.rank, self._side(right, 0)
             # equal merges are done from the left: the left side's own merge wins a tie, the border's wins over the right's
             got = not any((q := rank.get((a, b))) is not None and q < at_a and q <= at_b for a, at_a in self._side(left, 1) for b, at_b in rights)
-            if len(self._stable) > 2_000_000:
+            if len(self._stable) > 400_000:
                 self._stable.clear()
             self._stable[left, right] = got
         return got
@@ -272,7 +272,7 @@ class Transducer:
         for byte in np.flatnonzero(np.bincount(data, minlength=256)):
             if self._column[byte] < 0:
                 if self._columns == self._next.shape[1]:
-                    self._grow(self._next.shape[0], self._columns + 32)
+                    self._grow(self._next.shape[0], self._columns + 16)
                 self._column[byte] = self._columns
                 self._columns += 1
         order = np.argsort(-lengths, kind="stable")
@@ -393,7 +393,7 @@ class Transducer:
             byte = int(data[p])
             if self._column[byte] < 0:
                 if self._columns == self._next.shape[1]:
-                    self._grow(self._next.shape[0], self._columns + 32)
+                    self._grow(self._next.shape[0], self._columns + 16)
                 self._column[byte] = self._columns
                 self._columns += 1
             c = self._column[byte]
