@@ -9,8 +9,8 @@ the bit counts of 2048-bit signatures bound the overlap from above, and only wha
 prove nothing and give no key, unless a set has more of them than ``spare``; then they do, so no link is lost.
 
 Sets in one cell are compared with its smallest member first. What that leaves in different components is compared in
-blocks of at most ``2 * BLOCK`` members, on bitmaps and then exactly, and only links that join components leave a block: no
-group has to fit into one task and no list of all pairs is made.
+blocks of at most ``2 * BLOCK`` members, on bitmaps, and each pair in one cell as a rule: no group has to fit into one task
+and no list of all pairs is made.
 Equal sets are handled once whatever the number of copies.
 
 Null and empty texts, and texts of white space only, have empty sets and no links. Ties do not arise: a component is named
@@ -28,13 +28,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import doc_text, pieces, stash
+from tidewell.llm.common import doc_text, pieces, slabs, stash
 from tidewell.llm.graph import components
 from tidewell.llm.textkit import U64, mix, shingle_sets
 
 SIGNATURE_WORDS = 32  # 2048 bits
 BLOCK = 1024
-HELD_KEYS = 2_000_000
+HELD_KEYS = 1_000_000
 _LOW = U64((1 << 48) - 1)
 _KEYS = "doc_id long, n_shingles long, lo long, hi long, part int, cells binary"
 _SETS = "node long, n long, sig array<long>, shingles binary"
@@ -124,7 +124,7 @@ def _keyed(words: int, num: int, den: int, parts: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tiles, seen = Tiles(num, den), OrderedDict()
         names, keys, held = [], [], 0
-        for pdf in batches:
+        for pdf in slabs(batches):
             rows = []
             for doc_id, s in zip(pdf.doc_id, shingle_sets(pdf.text.tolist(), words)):
                 name = _name(s)
@@ -175,7 +175,7 @@ def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _sets(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slabs(batches):
             rows = [(node, len(s), signature(s), s.tobytes()) for node, s in zip(pdf.node, shingle_sets(pdf.text.tolist(), words))]
             yield pd.DataFrame(rows, columns=["node", "n", "sig", "shingles"])
 
@@ -201,32 +201,28 @@ def _linked(num: int, den: int):
     return run
 
 
-def _tile_links(num: int, den: int):
-    """Links between different components inside many block pairs; what is joined here already is passed over."""
+def _tile_pairs(num: int, den: int):
+    """Pairs that bit counts let pass and that lie in different components, from many block pairs at once.
 
-    def links(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple[int, int]]:
-        root: dict[int, int] = {}
-
-        def top(c: int) -> int:
-            while (up := root.get(c, c)) != c:
-                root[c] = root.get(up, up)
-                c = up
-            return c
+    A pair that shares a smaller cell than this one, as its members' first two cells tell, has been met there.
+    """
 
+    def pairs(key: int, left: pd.DataFrame, right: pd.DataFrame) -> list[tuple[int, int]]:
         sig_l, sig_r = (np.stack(x.sig.to_list()).view(U64) for x in (left, right))
-        n_r, node_r, comp_r, sets_r = right.n.to_numpy(), right.node.tolist(), right.component.to_numpy(), right.shingles.tolist()
+        n_r, node_r, comp_r, one_r, two_r = (right[c].to_numpy() for c in ("n", "node", "component", "one", "two"))
         out = []
-        for node, comp, n, raw, sig in zip(left.node.tolist(), left.component.tolist(), left.n.tolist(), left.shingles, sig_l):
-            apart = np.bitwise_count(sig_r ^ sig).sum(axis=1, dtype=np.int64)
-            most = (n + n_r - apart) // 2
-            mine = np.frombuffer(raw, dtype=U64)
-            for k in np.flatnonzero((most * den >= num * (n + n_r - most)) & (comp_r != comp)).tolist():
-                x, y = top(comp), top(int(comp_r[k]))
-                if x != y:
-                    inter = _overlap(mine, np.frombuffer(sets_r[k], dtype=U64))
-                    if inter * den >= num * (n + int(n_r[k]) - inter):
-                        root[max(x, y)] = min(x, y)
-                        out.append((min(node, node_r[k]), max(node, node_r[k])))
+        for node, comp, n, one, two, sig in zip(*(left[c].tolist() for c in ("node", "component", "n", "one", "two")), sig_l):
+            fresh = comp_r != comp
+            if one < key:
+                fresh &= (one_r != one) & (two_r != one)
+            if two < key:
+                fresh &= (one_r != two) & (two_r != two)
+            at = np.flatnonzero(fresh)
+            if len(at):
+                apart = np.bitwise_count(sig_r[at] ^ sig).sum(axis=1, dtype=np.int64)
+                most = (n + n_r[at] - apart) // 2
+                ok = at[most * den >= num * (n + n_r[at] - most)]
+                out += [(min(node, x), max(node, x)) for x in node_r[ok].tolist()]
         return out
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -238,7 +234,7 @@ def _tile_links(num: int, den: int):
             part = pdf.iloc[a:b]
             left, right = part[part.side != 1], part[part.side != 0]  # side 2 is a block met with itself
             if len(left) and len(right):
-                out.update(links(left, right))
+                out.update(pairs(int(names[a, 0]), left, right))
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
     return run
@@ -290,7 +286,7 @@ def shingle_components(documents: DataFrame, words: int = 5, num: int = 4, den:
             rest = stash(placed.join(mixed.select("key", "size"), "key"), "shingle-rest")
             if rest.isEmpty():
                 continue
-            more = _block_links(rest, sets, num, den)
+            more = _verify(_block_pairs(rest, sets, num, den), sets, num, den)
         found = stash(more, "shingle-links")
         if not found.isEmpty():
             edges = edges.unionByName(found)
@@ -307,13 +303,15 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return pairs.where("c_a <> c_b").select("a", "b")
 
 
-def _block_links(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links inside the groups of ``rest`` that join components; many pairs of blocks share a task."""
+def _block_pairs(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs inside the groups of ``rest`` that bit counts let pass; many pairs of blocks share a task."""
+    first = F.slice(F.array_sort(F.collect_set("key")), 1, 2)  # a set has at most as many cells as elements
+    firsts = rest.groupBy("node").agg(first.alias("f")).select("node", F.get("f", F.lit(0)).alias("one"), F.coalesce(F.get("f", F.lit(1)), F.get("f", F.lit(0))).alias("two"))
     blocks = F.ceil(F.col("size") / BLOCK)
-    cut = rest.join(sets, "node").withColumn("blocks", blocks).withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
+    cut = rest.join(sets.select("node", "n", "sig"), "node").join(firsts, "node").withColumn("blocks", blocks).withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
     met = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "node", "component", "n", "sig", "shingles", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), F.when(F.col("block") == F.col("with"), 2).when(F.col("block") < F.col("with"), 0).otherwise(1).alias("side")
+        "key", "node", "component", "n", "sig", "one", "two", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), F.when(F.col("block") == F.col("with"), 2).when(F.col("block") < F.col("with"), 0).otherwise(1).alias("side")
     )
     tiles = pieces(rest.count(), 4_000)
     met = met.withColumn("tile", F.pmod(F.xxhash64("key", "p", "q"), F.lit(tiles)))
-    return met.groupBy("tile").applyInPandas(_tile_links(num, den), "a long, b long").distinct()
+    return met.groupBy("tile").applyInPandas(_tile_pairs(num, den), "a long, b long").distinct()
