@@ -170,11 +170,16 @@ def theta_name_match(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def label_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of the vectors of a label, the first 300 vectors only: a pairwise matrix is made of one small group."""
-    rows = table(spark, folder, "embeddings").where("vec_id < 300").withColumn("traj", F.col("embedding").cast("array<double>"))
+    """All pairs of the vectors of a label."""
+    rows = table(spark, folder, "embeddings").withColumn("traj", F.col("embedding").cast("array<double>"))
     return joins.pairs_within(rows.select(F.col("label").alias("grp"), "vec_id", "traj"), "grp", "vec_id", ["traj"])
 
 
+def first_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of the first 300 vectors only, as ``_PAIR_SQL`` has them; queries without an SQL twin take ``label_pairs``."""
+    return label_pairs(spark, folder).where("a < 300 AND b < 300")
+
+
 _PAIR_SQL = "p AS (SELECT x.label AS grp, x.vec_id AS a, y.vec_id AS b, CAST(x.embedding AS DOUBLE[]) AS u, CAST(y.embedding AS DOUBLE[]) AS v FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id WHERE x.vec_id < 300 AND y.vec_id < 300)"
 
 
@@ -182,12 +187,12 @@ _PAIR_SQL = "p AS (SELECT x.label AS grp, x.vec_id AS a, y.vec_id AS b, CAST(x.e
 def all_pairs(spark: SparkSession, folder: str) -> DataFrame:
     from tidewell.functions.vectors import minus, norm
 
-    return label_pairs(spark, folder).select("grp", "a", "b", F.round(norm(minus(F.col("traj_a"), F.col("traj_b"))), 6).alias("d"))
+    return first_pairs(spark, folder).select("grp", "a", "b", F.round(norm(minus(F.col("traj_a"), F.col("traj_b"))), 6).alias("d"))
 
 
 @query(f"WITH {_PAIR_SQL} SELECT a, b, round(abs(u[1] - v[1]) + abs(u[2] - v[2]), 6) AS d FROM p WHERE a % 2 = 0 AND b % 3 <> 0")
 def two_side_sum(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = label_pairs(spark, folder)
+    pairs = first_pairs(spark, folder)
     side = lambda k: pairs.select("a", "b", F.abs(F.get("traj_a", F.lit(k)) - F.get("traj_b", F.lit(k))).alias("d"))
     return joins.two_sides(side(0).where("a % 2 = 0"), side(1).where("b % 3 <> 0"), ["a", "b"]).withColumn("d", F.round("d", 6))
 
@@ -197,7 +202,7 @@ def matrix_stats(spark: SparkSession, folder: str) -> DataFrame:
     from tidewell.functions.vectors import minus, norm
     from tidewell.operators.trajectories import edge_stats
 
-    edges = label_pairs(spark, folder).select("grp", "a", "b", norm(minus(F.col("traj_a"), F.col("traj_b"))).alias("d"))
+    edges = first_pairs(spark, folder).select("grp", "a", "b", norm(minus(F.col("traj_a"), F.col("traj_b"))).alias("d"))
     out = edge_stats(edges)
     return out.select("grp", *[F.round(c, 6).alias(c) for c in ("min_d", "max_d", "mean_d", "std_d")], "n_pairs")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import frames, picks, rotations, vectors
 from tidewell.operators import reports, stats, trajectories
-from tidewell.plans.episodes_part import _PAIR_SQL, label_pairs
+from tidewell.plans.episodes_part import _PAIR_SQL, first_pairs, label_pairs
 from tidewell.sources.tables import table
 
 QUERIES: dict = {}
@@ -187,7 +187,7 @@ def geodesic_cost(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_PAIR_SQL} SELECT a, b, round(sqrt((u[1]-v[1])**2 + (u[2]-v[2])**2 + (u[3]-v[3])**2) + 100 * abs(u[4] - v[4]), 6) AS cost FROM p")
 def joint_cost(spark: SparkSession, folder: str) -> DataFrame:
-    return label_pairs(spark, folder).select("a", "b", F.round(rotations.joint_cost(F.slice("traj_a", 1, 4), F.slice("traj_b", 1, 4)), 6).alias("cost"))
+    return first_pairs(spark, folder).select("a", "b", F.round(rotations.joint_cost(F.slice("traj_a", 1, 4), F.slice("traj_b", 1, 4)), 6).alias("cost"))
 
 
 _DTW = f"""WITH RECURSIVE {_PAIR_SQL},
@@ -203,23 +203,23 @@ SELECT a, b, round(prev[9], 6) AS d FROM d WHERE s = 64"""
 
 @query(_DTW)
 def dtw_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = label_pairs(spark, folder).where("a < 60 AND b < 60")
+    pairs = first_pairs(spark, folder).where("a < 60 AND b < 60")
     return trajectories.pair_distances(pairs, 8, kind="joint", normalized=False).select("a", "b", F.round("d", 6).alias("d"))
 
 
 @query()
 def dtw_banded(spark: SparkSession, folder: str) -> DataFrame:
-    return trajectories.pair_distances(label_pairs(spark, folder).where("a < 100 AND b < 100"), 8, kind="joint", window=2).select("a", "b", F.round("d", 6).alias("d"))
+    return trajectories.pair_distances(label_pairs(spark, folder), 8, kind="joint", window=2).select("a", "b", F.round("d", 6).alias("d"))
 
 
 @query()
 def dtw_two_stage(spark: SparkSession, folder: str) -> DataFrame:
-    out = trajectories.pair_distances(label_pairs(spark, folder).where("a < 100 AND b < 100"), 8, kind="joint", two_stage=True)
+    out = trajectories.pair_distances(label_pairs(spark, folder), 8, kind="joint", two_stage=True)
     return out.select("a", "b", *[F.round(c, 6).alias(c) for c in ("d", "d_body", "d_grip", "mismatch")], "steps")
 
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
-    return label_pairs(spark, folder).where("a < 150 AND b < 150").select("grp", "a", "b", vectors.norm(vectors.minus(F.col("traj_a"), F.col("traj_b"))).alias("d"))
+    return label_pairs(spark, folder).select("grp", "a", "b", vectors.norm(vectors.minus(F.col("traj_a"), F.col("traj_b"))).alias("d"))
 
 
 @query()
