@@ -115,6 +115,33 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert known.attach(keys).where(known.contains(F.col("key")) != F.col("listed")).count() == 0
 
 
+@pytest.mark.parametrize("bound", [0, 60])
+def test_levels_beyond_the_broadcast_bound_stay_exact(spark, monkeypatch, bound):
+    from pyspark.sql import functions as F
+
+    from tidewell.llm import url_filters
+
+    for name in ("MAX_LISTED", "BROADCAST_KEYS"):
+        monkeypatch.setattr(url_filters, name, bound, raising=False)
+    keys = spark.range(40000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), (F.col("id") % 9 == 0).alias("listed"))
+    known = url_filters.Cascade(keys.where("listed").select("key"), keys.select("key"))
+    assert len(known.levels) > 2 and 0 in known.blocks and known.blocks[0] > 1
+    assert (len(known.blocks) < len(known.levels)) == (bound > 0)
+    assert {r.key for r in known.members(keys.select("key")).collect()} == {r.key for r in keys.where("listed").collect()}
+
+    rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block")]
+    blocked = [f"h{i}.net" for i in range(0, 300, 3)] + ["h1.com", "unseen.org"]
+    urls = [f"http://{s}h{i}.{top}{path}" for i in range(300) for s in ("", "a.") for top, path in (("net", "/es/x"), ("net", "/fr"), ("com", ""))] + ["http://www.example.com/en/1", "http://b.example.com/en/1", None, "x", "http://", "http://h3.net/fr", "http://h3.net/fr"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in decide(pages, rules, spark.createDataFrame([(h,) for h in blocked], "host string")).collect()}
+    assert len(got) == len(urls)
+    for i, url in enumerate(urls):
+        host, slash, path = (url or "").partition("://")[2].partition("/")
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if host and (host == h or host.endswith("." + h)) and (slash + path).startswith(p)]
+        want = max(fits)[1:] if fits else (None, "block" if any(host == b or host.endswith("." + b) for b in blocked) else "allow")
+        assert got[i] == want, url
+
+
 # --- exact top-k
 
 @pytest.mark.parametrize("k", [1, 5, 300])
