@@ -88,6 +88,21 @@ def test_classifier_learns_and_is_reproducible(spark):
     assert held == {i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1}
 
 
+def test_training_takes_all_features(spark, monkeypatch):
+    long = " ".join(f"word{i}" for i in range(6000)) + " twice twice"
+    docs = spark.createDataFrame([(0, long), (1, "short one"), (2, long + " x")], DOCS)
+    marked = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, quality int")
+    got = []
+    monkeypatch.setattr(quality.Model, "train", lambda self, rows, labels, *more: got.extend(zip(rows, labels)))
+    quality.fit(docs, marked)
+    assert [int(y) for _, y in got] == [1, 0, 0]
+    for ((at, share), _), text in zip(got, (long, "short one", long + " x")):
+        bucket = np.concatenate([b for _, b in quality.Features(1 << 18).rows([text])])
+        want, n = np.unique(bucket, return_counts=True)
+        assert np.array_equal(at, want) and np.allclose(share, n / n.sum())
+    assert len(got[0][0][0]) > 9000 and 1 in got[0][0][0]  # bucket 1: a word again, one back
+
+
 # --- URL filters
 
 def test_urls(spark):

@@ -6,8 +6,8 @@ trained together by numpy stochastic gradient descent on the labelled documents,
 product of table and layer is taken once, so a feature costs one look-up; all words of every whole text count.
 
 Training rows: ``train_rows`` at most, those with the smallest hash of their id, so the bound is a parameter and reruns take
-the same rows. Each is sent to the driver as the ids and counts of its features (``train_features`` of them at most, those
-with the smallest hash): a proven size. Scoring is a map over all rows; the model, ``4 * buckets`` bytes, goes with the task.
+the same rows. Each is sent to the driver as the ids and counts of all its features, partition by partition; ``train_rows``
+times the features of a document, ``buckets`` at most, bounds what the driver holds. Scoring is a map over all rows; the model, ``4 * buckets`` bytes, goes with the task.
 
 A null or empty text has no features and gets the score of the bias alone. Rows are scored one by one, so repeated rows and
 extra columns don't matter. Without labelled rows, or with one label only, every score is that label's share (0.5 if none).
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import doc_text, slabs
+from tidewell.llm.common import doc_text, slabs, stash
 from tidewell.llm.textkit import U64, mix
 
 _GRAMS = (3, 4)
@@ -126,7 +126,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def _featured(buckets: int, most: int):
+def _featured(buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features(buckets)
         for pdf in slabs(batches):
@@ -137,27 +137,25 @@ def _featured(buckets: int, most: int):
                 seen, first = np.unique(place, return_index=True)
                 for i, b in zip(seen, np.split(bucket, first[1:])):
                     at, n = np.unique(b, return_counts=True)
-                    if len(at) > most:
-                        keep = np.argsort(mix(at.astype(U64)))[:most]
-                        at, n = at[keep], n[keep]
                     out.append((pdf.doc_id.iat[i], int(pdf.quality.iat[i]), at.astype("<i4").tobytes(), n.astype("<i4").tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "quality", "at", "n"])
 
     return run
 
 
-def fit(documents: DataFrame, labels: DataFrame, train_rows: int = 5000, train_features: int = 3000, buckets: int = 1 << 18, width: int = 8, epochs: int = 4, rate: float = 3.0, seed: int = 5) -> tuple[np.ndarray, float]:
+def fit(documents: DataFrame, labels: DataFrame, train_rows: int = 5000, buckets: int = 1 << 18, width: int = 8, epochs: int = 4, rate: float = 3.0, seed: int = 5) -> tuple[np.ndarray, float]:
     """The scoring weights learned from ``labels(doc_id, quality)``, of which the caller keeps held-out rows away."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").dropDuplicates(["doc_id"])
     marked = marked.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(train_rows)
     chosen = doc_text(documents).join(F.broadcast(marked), "doc_id")  # train_rows bounds its size
-    got = chosen.select("doc_id", "text", "quality").mapInPandas(_featured(buckets, train_features), "doc_id long, quality int, at binary, n binary").toPandas().sort_values("doc_id", kind="stable")
-    y = got.quality.to_numpy(dtype=np.int64)
+    got = stash(chosen.select("doc_id", "text", "quality").mapInPandas(_featured(buckets), "doc_id long, quality int, at binary, n binary"), "features")
+    got = sorted((tuple(r) for r in got.toLocalIterator()), key=lambda r: (r[0], bytes(r[2]), bytes(r[3])))
+    y = np.array([r[1] for r in got], dtype=np.int64)
     if len({*y}) < 2:
         share = float(y.mean()) if len(y) else 0.5
         return np.zeros(buckets, dtype=np.float32), 0.0 if share == 0.5 else 20.0 * (2 * share - 1)
     rows = []
-    for at, n in zip(got["at"], got.n):
+    for _, _, at, n in got:
         n = np.frombuffer(n, dtype="<i4").astype(np.float32)
         rows.append((np.frombuffer(at, dtype="<i4"), n / n.sum()))
     model = Model(buckets, width, seed)
