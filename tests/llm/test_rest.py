@@ -245,3 +245,38 @@ def test_patterns_discover_unseen_identifiers(spark):
     got = {r.doc_id: r for r in pii.find_personal(spark.createDataFrame(rows, DOCS)).collect()}
     assert [[x.value for x in got[i].added] for i in (100, 101, 102, 103)] == [["5550109988"], [], [], ["555-010-9977"]]
     assert got[100].spans == "phone:22:32" and got[0].spans.startswith("phone:")
+
+
+def brute_discovery(rows, support=4, confidence=0.75, rounds=3):
+    """Kinds of (pattern, value) from ``rows`` of (pattern, value, kind of the seed or None)."""
+    edges = {(p, v): k for p, v, k in rows}
+    score = {v: 0.0 for _, v in edges} | {v: 1.0 for (_, v), k in edges.items() if k is not None}
+    kind = {v: k for (_, v), k in edges.items() if k is not None}
+    for _ in range(rounds):
+        sure = {}
+        for p in {p for p, _ in edges}:
+            mine = [v for q, v in edges if q == p]
+            belief = sum(score[v] for v in mine) / len(mine)
+            votes = [kind[v] for v in mine if v in kind]
+            if len(mine) >= support and belief >= confidence:
+                sure[p] = belief, max(sorted({*votes}), key=votes.count)
+        for v in score:
+            best = max(((b, -k) for p, (b, k) in sure.items() if (p, v) in edges), default=(0, 0))
+            if best[0] > score[v]:
+                score[v], kind[v] = best[0], -best[1]
+    return {(p, v): sure[p][1] for (p, v), k in edges.items() if k is None and p in sure}
+
+
+def test_patterns_of_a_second_hop_and_spaced_identifiers(spark):
+    near = ["555 010 9988", "AB12345", "(555) 010-7766", "555.010.6655"]
+    plain = [x.removeprefix("(") for x in near]
+    seeds = [f"+1 234 555 10{i:02d}" for i in range(24)]
+    said = [("at phone", s, 3) for s in seeds] + [("at phone", v, None) for v in plain]
+    said += [("his number", v, None) for v in plain] + [("his number", "777 888 9999", None)]
+    said += [("order number", v, None) for v in ("11 2222", "33 4444", "55 6666", "77 8888")]
+    raw = dict(zip(plain, near))
+    docs = [(i, f"well {p} {raw.get(v, v)} ok") for i, (p, v, _) in enumerate(said)] + [(900, "reach at phone 5550107 4111 1111 1111 1111 ok")]
+    want = brute_discovery(said + [("at phone", "5550107", None)])
+    assert ("his number", "777 888 9999") in want  # no seed stands there
+    got = {r.doc_id: [(x.value, x.kind) for x in r.added] for r in pii.find_personal(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {i: [(v, want[p, v])] if (p, v) in want else [] for i, (p, v, _) in enumerate(said)} | {900: [("5550107", 3)]}

@@ -1,14 +1,17 @@
 """Personal data by bootstrapped contextual extraction. DataFrame operations only.
 
 Four kinds of identifiers are found by their form (email, ip, card, phone); they are the seeds. Text before a seed is a
-*lexical pattern*: its last two words, lower-cased. Other tokens that look like identifiers (``MIN_DIGITS`` digits or more, no
-seed) are candidates with patterns of their own. Patterns and instances make a bipartite graph that Spark scores in rounds:
+*lexical pattern*: its last two words, lower-cased. Other spans that look like identifiers (``MIN_DIGITS`` digits or more, no
+seed) are candidates with patterns of their own: a token with six digits or more, or tokens with fewer that single spaces or dots
+join, as in ``555 010 9988``. Patterns and instances make a bipartite graph that Spark scores in rounds:
 
-* a pattern's confidence is the mean score of the distinct instances it introduces, if they are ``support`` or more;
-* an instance's score is 1 for seeds, else the best confidence among its patterns of at least ``confidence``.
+* a pattern's confidence is the mean score of the distinct instances it introduces, if they are ``support`` or more; its kind is
+  the one that most of these instances have (ties: the kind listed first);
+* an instance's score is 1 for seeds, else the best confidence among its patterns of at least ``confidence``; its kind is that of
+  the seed, else of its best pattern, so a pattern without a seed of its own gets a kind from lifted instances.
 
-After ``rounds`` rounds the tokens that a confident pattern introduces are personal data of the kind that most of the
-pattern's seeds have (ties: the kind listed first). They are added to the seeds' spans, which always stay.
+After ``rounds`` rounds the spans that a confident pattern introduces are personal data of the pattern's kind. They are added to
+the seeds' spans, which always stay.
 
 Positions are code points, ends exclusive. Spark has no function for the places of all matches, so a text is split by the
 pattern and its gaps and matches are laid out again; expressions are written so that the matcher needs no recursion. Cards
@@ -26,14 +29,19 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import stash
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_DIGITS = 6
+MIN_DIGITS = 4
 _LOCAL = "A-Za-z0-9._%+-"
 EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _JOINT = "\ue000"
 CARD = rf"(?<![0-9{_JOINT}])[0-9][0-9{_JOINT}]{{11,}}+"
-CANDIDATE = r"(?<![^\x20\x09-\x0D\"'=:(\[])[A-Za-z0-9_-]*+(?<=[0-9][A-Za-z0-9_-]{0,40})(?=[\x20\x09-\x0D\"'.,;:)\]]|$)"
+_END = r"(?=[\x20\x09-\x0D\"'.,;:)\]]|$)"
+_TOKEN = rf"[A-Za-z_-]*+[0-9][A-Za-z0-9_-]*+{_END}"
+_SHORT = rf"[A-Za-z_-]*+(?:[0-9][A-Za-z_-]*+){{1,5}}+(?![0-9]){_END}"
+_START = r"(?<![^\x20\x09-\x0D\"'=:(\[])"
+CANDIDATE = rf"{_START}(?:{_SHORT}(?:[\x20.]{_SHORT}|\)\x20{_TOKEN})*+|{_TOKEN})"
+TOKEN = _START + _TOKEN
 
 
 def _found(text: Column, pattern: str, shown: Column | None = None) -> Column:
@@ -96,23 +104,30 @@ def find_personal(documents: DataFrame, support: int = 4, confidence: float = 0.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("base", base_spans(F.col("text")))
-    tokens = F.filter(_found(F.col("text"), CANDIDATE), lambda s: F.length(_digits(s["value"])) >= MIN_DIGITS)
-    tokens = F.when(F.rlike("text", F.lit(r"[0-9][A-Za-z0-9_-]{3}")), tokens).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
-    rows = rows.withColumn("tokens", F.filter(tokens, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    found = lambda form, some: F.when(F.rlike("text", F.lit(some)), F.filter(_found(F.col("text"), form), lambda s: F.length(_digits(s["value"])) >= MIN_DIGITS)).otherwise(none)
+    apart = lambda spans, others: F.filter(spans, lambda t: ~F.exists(others, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    rows = rows.withColumn("joined", apart(found(CANDIDATE, r"[0-9][A-Za-z0-9_-]*+\)?[\x20.]?[A-Za-z_-]*+[0-9]"), F.col("base")))
+    # tokens whose longer span runs into a seed count alone
+    rows = rows.withColumn("tokens", F.concat("joined", apart(apart(found(TOKEN, r"[0-9][A-Za-z0-9_-]{3}"), F.col("base")), F.col("joined"))))
     seeds = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), _pattern(F.col("text"), s["start"]).alias("pattern")))
     others = F.transform("tokens", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(None).cast("int").alias("kind"), s["value"].alias("value"), _pattern(F.col("text"), s["start"]).alias("pattern")))
     rows = stash(rows.select("doc_id", "row", "base", F.concat(seeds, others).alias("mentions")), "mentions")
 
     mentions = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*").where("pattern is not null")
     edges = stash(mentions.groupBy("pattern", "value").agg(F.min("kind").alias("kind")), "edges")
-    scores = edges.groupBy("value").agg(F.max(F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0)).alias("score"))
+    scores = edges.groupBy("value").agg(F.max(F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0)).alias("score"), F.min("kind").alias("as"))
     for _ in range(rounds):
-        sure = edges.join(scores, "value").groupBy("pattern").agg(F.avg("score").alias("belief"), F.count("*").alias("n")).where((F.col("n") >= support) & (F.col("belief") >= confidence))
-        sure = stash(sure, "patterns")
-        lifted = edges.join(sure, "pattern").groupBy("value").agg(F.max("belief").alias("belief"))
-        scores = stash(scores.join(lifted, "value", "left").select("value", F.greatest("score", F.coalesce("belief", F.lit(0.0))).alias("score")), "scores")
-    votes = edges.join(sure, "pattern").where("kind is not null").groupBy("pattern", "kind").count()
-    kinds = votes.groupBy("pattern").agg(F.max_by("kind", F.struct("count", -F.col("kind"))).alias("as"))
+        known = edges.join(scores, "value").withColumn("kind", F.coalesce("kind", "as"))
+        votes = [F.count_if(F.col("kind") == k).alias(f"v{k}") for k in range(len(KINDS))]
+        sure = known.groupBy("pattern").agg(F.avg("score").alias("belief"), F.count("*").alias("n"), *votes).where((F.col("n") >= support) & (F.col("belief") >= confidence))
+        most = F.greatest(*[f"v{k}" for k in range(len(KINDS))])
+        sure = stash(sure.select("pattern", "belief", F.coalesce(*[F.when(F.col(f"v{k}") == most, k) for k in range(len(KINDS))]).alias("as")), "patterns")
+        lifted = edges.join(sure, "pattern").groupBy("value").agg(F.max(F.struct("belief", (-F.col("as")).alias("order"))).alias("best"))
+        lifted = lifted.select("value", F.col("best.belief").alias("belief"), (-F.col("best.order")).alias("of"))
+        better = F.coalesce(F.col("belief") > F.col("score"), F.lit(False))
+        scores = stash(scores.join(lifted, "value", "left").select("value", F.when(better, F.col("belief")).otherwise(F.col("score")).alias("score"), F.when(better, F.col("of")).otherwise(F.col("as")).alias("as")), "scores")
+    kinds = sure.select("pattern", "as")
     new = mentions.where("kind is null").join(kinds, "pattern").select("row", F.struct("start", "end", F.col("as").alias("kind"), "value").alias("s"))
     new = new.groupBy(F.col("row").alias("_row")).agg(F.collect_list("s").alias("added"))
     rows = rows.drop("mentions").join(new, rows.row == new._row, "left")
