@@ -28,8 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import doc_text, pieces, slabs, stash
-from tidewell.llm.graph import components
+from tidewell.llm.common import doc_text, drop, join_spread, pieces, slabs, small_batches, stash
+from tidewell.llm.graph import components, merged
 from tidewell.llm.textkit import U64, mix, shingle_sets
 
 SIGNATURE_WORDS = 32  # 2048 bits
@@ -108,7 +108,7 @@ def _keyed(words: int, num: int, den: int, parts: int):
     def packed(names: list[int], keys: list[np.ndarray]) -> pd.DataFrame:
         sizes = [len(k) for k in keys]
         flat, owner = np.concatenate(keys), np.repeat(np.array(names, dtype=np.int64), sizes)
-        part = (((flat >> U64(48)) * U64(parts)) >> U64(16)).astype(np.int64)
+        part = (((flat >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         flat, owner, part = flat[order], owner[order], part[order]
         edge = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
@@ -134,7 +134,7 @@ def _keyed(words: int, num: int, den: int, parts: int):
                     keys.append(tiles.keys(s))
                     held += len(keys[-1])
                     seen[name] = None
-                    if len(seen) > 50_000:
+                    if len(seen) > 20_000:
                         seen.popitem(last=False)
                     if held >= HELD_KEYS:
                         yield packed(names, keys)
@@ -259,14 +259,17 @@ def shingle_components(documents: DataFrame, words: int = 5, num: int = 4, den:
 
     Two documents are linked when ``den * |A & B| >= num * |A | B|`` over their sets of distinct ``words``-word shingles.
     """
+    small_batches(documents.sparkSession)
     docs = doc_text(documents)
-    parts = pieces(docs.count(), 4_000)
+    total = docs.count()
+    parts = pieces(total, 4_000)
     stored = stash(docs.mapInPandas(_keyed(words, num, den, parts), _KEYS), "shingle-keys")
-    keyed = stored.where("doc_id is not null").select("doc_id", "n_shingles", "lo", "hi")
+    keyed = stash(stored.where("doc_id is not null").select("doc_id", "n_shingles", "lo", "hi"), "shingle-names")
     named = keyed.where("n_shingles > 0")
-    nodes = named.groupBy("lo", "hi").agg(F.min("doc_id").alias("node"))
+    nodes = named.groupBy("lo", "hi").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     cells = stored.where("part is not null").select("part", "cells").repartition(parts, "part").mapInPandas(_met, "key long, lo long")
     members = stash(cells.join(nodes, "lo").select("key", "node"), "shingle-cells")
+    drop(stored)
 
     wanted = members.select("node").distinct()
     texts = docs.join(wanted, docs.doc_id == wanted.node).select("node", "text").dropDuplicates(["node"])
@@ -276,6 +279,7 @@ def shingle_components(documents: DataFrame, words: int = 5, num: int = 4, den:
     # every set is held against its smallest hub first; what that links needs no further look
     edges = stash(_verify(star.groupBy("b").agg(F.min("a").alias("a")), sets, num, den), "shingle-links")
     comp = components(edges)
+    drop(edges)
     for step in ("star", "blocks"):
         if step == "star":
             more = _verify(_apart(star, comp), sets, num, den)
@@ -285,15 +289,18 @@ def shingle_components(documents: DataFrame, words: int = 5, num: int = 4, den:
             mixed = mixed.groupBy("size", "who").agg(F.min("key").alias("key"))  # equal groups once
             rest = stash(placed.join(mixed.select("key", "size"), "key"), "shingle-rest")
             if rest.isEmpty():
+                drop(rest)
                 continue
             more = _verify(_block_pairs(rest, sets, num, den), sets, num, den)
         found = stash(more, "shingle-links")
         if not found.isEmpty():
-            edges = edges.unionByName(found)
-            comp = components(edges)
+            comp = merged(comp, found)
+        drop(found, rest if step == "blocks" else found)
 
-    home = nodes.join(comp, "node", "left").select("lo", "hi", F.coalesce("component", "node").alias("component"))
-    return keyed.join(home, ["lo", "hi"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    home = stash(nodes.join(comp, "node", "left").select("lo", "hi", F.coalesce("component", "node").alias("component_id"), "copies"), "shingle-homes")
+    drop(members, sets, star, comp)
+    linked = join_spread(named, home, ["lo", "hi"], "copies", total).select("doc_id", "n_shingles", "component_id")
+    return linked.unionByName(keyed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 U64 = np.uint64
+WINDOW = 1 << 18
 _P = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -34,24 +37,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def word_hashes(texts: list[str | None], slab: int = 4 << 20):
-    """Yield ``(first, offsets, hashes)`` for runs of texts of about ``slab`` bytes.
+def windows(data: np.ndarray, size: int = WINDOW) -> Iterator[tuple[int, int]]:
+    """Limits of parts of about ``size`` bytes that end with white space, as ``data`` does: no word is cut."""
+    at = 0
+    while at < len(data):
+        end = min(at + size, len(data))
+        while end < len(data) and not _SPACE[data[end - 1]]:
+            ahead = np.flatnonzero(_SPACE[data[end : end + size]])
+            end = end + int(ahead[0]) + 1 if len(ahead) else min(end + size, len(data))
+        yield at, end
+        at = end
 
-    Words are maximal runs of anything but the six ASCII white-space characters, with A-Z lower-cased; text
-    ``first + i`` has the word hashes ``hashes[offsets[i]:offsets[i + 1]]``. A null text counts as empty.
-    """
-    first, held, size = 0, [], 0
-    for i, t in enumerate(texts):
-        raw = t.encode("utf-8", "surrogatepass") if t else b""
-        held.append(raw)
-        size += len(raw) + 1
-        if size >= slab or i == len(texts) - 1:
-            yield first, *_hash_run(held)
-            first, held, size = i + 1, [], 0
 
-
-def _hash_run(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(b"\n".join(raws) + b"\n", dtype=np.uint8)
+def words_in(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the words of bytes that end with white space; A-Z count as lower-case."""
     space = _SPACE[data]
     edge = np.empty(len(data), dtype=bool)
     edge[0] = True
@@ -63,16 +62,35 @@ def _hash_run(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     up, down = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=U64)
     np.cumsum(_BYTE[_LOWER[data]] * up[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
-    limits = np.cumsum([len(r) + 1 for r in raws])
-    offsets = np.zeros(len(raws) + 1, dtype=np.int64)
-    offsets[1:] = np.searchsorted(starts, limits)
-    return offsets, hashes
+    return starts, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+
+
+def word_hashes(texts: list[str | None], slab: int = 4 * WINDOW):
+    """Yield ``(offsets, hashes)`` for runs of texts of about ``slab`` bytes, one text at least.
+
+    Words are maximal runs of anything but the six ASCII white-space characters, with A-Z lower-cased; text ``i`` of the
+    run has the word hashes ``hashes[offsets[i]:offsets[i + 1]]``. A null text counts as empty. Bytes are worked on
+    window by window, so besides its words a long text costs no more memory than a window.
+    """
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        raw = t.encode("utf-8", "surrogatepass") if t else b""
+        held.append(raw)
+        size += len(raw) + 1
+        if size >= slab or i == len(texts) - 1:
+            data = np.frombuffer(b"\n".join(held) + b"\n", dtype=np.uint8)
+            limits = np.cumsum([len(r) + 1 for r in held])
+            found = [(a, *words_in(data[a:b])) for a, b in windows(data)]
+            starts = np.concatenate([a + s for a, s, _ in found])
+            offsets = np.zeros(len(held) + 1, dtype=np.int64)
+            offsets[1:] = np.searchsorted(starts, limits)
+            yield offsets, np.concatenate([h for *_, h in found])
+            held, size = [], 0
 
 
 def shingle_sets(texts: list[str | None], words: int):
     """Yield for every text its sorted distinct ``words``-word shingle hashes (fewer words: the whole sequence as one)."""
-    for _, offsets, h in word_hashes(texts):
+    for offsets, h in word_hashes(texts):
         rolled = h.copy()
         for k in range(1, words):
             rolled[:-k or None] = mix(rolled[:-k or None] * U64(0x9FB21C651E98DF25) + h[k:] + U64(k)) if len(h) > k else rolled[:-k or None]
