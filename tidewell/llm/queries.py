@@ -95,33 +95,36 @@ SELECT a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component
 """,
     "op7_line_neighbourhood": r"""
 WITH x AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-l AS (
-  SELECT doc_id, pos, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda v: v <> '') AS w
+t AS (
+  SELECT doc_id, pos, trim(regexp_replace(lower(line), '[\x20\t\x0B\f\r]+', ' ', 'g'), ' ') AS s
   FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM x)),
-f AS (SELECT w, len(w) AS n, min({'doc_id': doc_id, 'pos': pos}) AS first FROM l WHERE len(w) >= 5 GROUP BY w),
+l AS (
+  SELECT doc_id, pos, s, len(string_split(s, ' ')) >= 5 AS by_word, CASE WHEN len(string_split(s, ' ')) >= 5 THEN string_split(s, ' ') ELSE string_split(s, '') END AS w
+  FROM t WHERE len(string_split(s, ' ')) >= 5 OR length(s) >= 20),
+f AS (SELECT s, any_value(by_word) AS by_word, any_value(w) AS w, any_value(len(w)) AS n, min({'doc_id': doc_id, 'pos': pos}) AS first FROM l GROUP BY s),
 h AS (
-  SELECT w, n, first, m, unnest([array_to_string(w[1:m // 2], ' ') || ' <', '> ' || array_to_string(w[n - m + m // 2 + 1:n], ' ')]) AS half
+  SELECT s, by_word, w, first, m, unnest([array_to_string(w[1:m // 2], ' ') || ' <', '> ' || array_to_string(w[n - m + m // 2 + 1:n], ' ')]) AS half
   FROM (SELECT *, unnest([n, n - 1]) AS m FROM f WHERE n >= 8)),
-c AS (SELECT DISTINCT a.w AS a, b.w AS b FROM h a JOIN h b ON a.m = b.m AND a.half = b.half AND b.first < a.first),
+c AS (SELECT DISTINCT a.s AS s, a.w AS a, b.w AS b FROM h a JOIN h b ON a.by_word = b.by_word AND a.m = b.m AND a.half = b.half AND b.first < a.first),
 k AS (
-  SELECT a, coalesce(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]), false) - 1, least(len(a), len(b))) AS head,
+  SELECT s, coalesce(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]), false) - 1, least(len(a), len(b))) AS head,
          coalesce(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[-i] = b[-i]), false) - 1, least(len(a), len(b))) AS tail, greatest(len(a), len(b)) AS n FROM c),
-near AS (SELECT DISTINCT a AS w FROM k WHERE head + tail >= n - 1),
+near AS (SELECT DISTINCT s FROM k WHERE head + tail >= n - 1),
 gone AS (
-  SELECT doc_id, list(pos) AS gone FROM l JOIN f ON l.w = f.w LEFT JOIN near ON near.w = l.w
-  WHERE near.w IS NOT NULL OR first <> {'doc_id': doc_id, 'pos': pos} GROUP BY doc_id)
+  SELECT doc_id, list(pos) AS gone FROM l JOIN f ON l.s = f.s LEFT JOIN near ON near.s = l.s
+  WHERE near.s IS NOT NULL OR first <> {'doc_id': doc_id, 'pos': pos} GROUP BY doc_id)
 SELECT x.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(lines) END AS n_lines, coalesce(len(gone), 0) AS n_dropped,
        CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(lines, lambda v, i: NOT list_contains(gone, i - 1)), chr(10)) END AS text
 FROM x LEFT JOIN gone ON x.doc_id = gone.doc_id
 """,
     "op8_uniform_threshold": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[]) AS BIGINT) AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  SELECT q.r, q.vec_id AS query_id, c.r AS o, c.vec_id, CAST(list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[]) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.r <> q.r AND len(c.e) = len(q.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, o) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
     "op6_url_cascade": r"""
@@ -130,13 +133,15 @@ WITH u AS (
          translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
+l AS (SELECT DISTINCT host AS listed FROM u WHERE len(list_filter(string_split(host, '.'), lambda x: len(list_filter(['casino-', 'free-', 'ads-', 'spam-', 'cheap-', 'adult-'], lambda w: starts_with(x, w))) > 0)) > 0),
+b AS (SELECT DISTINCT host AS refused FROM (SELECT DISTINCT host FROM u) JOIN l ON host = listed OR ends_with(host, '.' || listed)),
 r(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 m AS (
   SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v
   FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
 SELECT u.page_id, host, path, rule,
-       coalesce(v, CASE WHEN regexp_matches(host, '(^|\.)(casino|free|ads|spam|cheap|adult)-') THEN 'block' ELSE 'allow' END) AS verdict
-FROM u LEFT JOIN m USING (page_id)
+       coalesce(v, CASE WHEN refused IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN m USING (page_id) LEFT JOIN b ON host = refused
 """,
 }
 if corpus_pipeline.ORACLE_SQL:
