@@ -1,7 +1,8 @@
 """Quality classifier on supervised subword embeddings.
 
-A document is the mean of learned vectors: one for every word, word pair, repeat of a word within three and character n-gram of a
-word, looked up by hash in a table of ``buckets`` rows. A linear layer and a softmax give the probabilities of the two labels. The table and the layer are
+A document is the mean of learned vectors: one for every word, word pair and character n-gram of a word, looked up by hash in a
+table of ``buckets`` rows. Word pairs are skip-bigrams: a word with each of the ``SKIPS`` before it, hashed by the exclusive or of the two words'
+hashes and their distance; so a pair counts in either order, and all pairs of equal words share one vector. A linear layer and a softmax give the probabilities of the two labels. The table and the layer are
 trained together by numpy stochastic gradient descent on the labelled documents, with a falling rate. For scoring, the
 product of table and layer is taken once, so a feature costs one look-up; all words of every whole text count.
 
@@ -10,7 +11,8 @@ the same rows. Each is sent to the driver as the ids and counts of all its featu
 times the features of a document, ``buckets`` at most, bounds what the driver holds. Scoring is a map over all rows; the model, ``4 * buckets`` bytes, goes with the task.
 
 A null or empty text has no features and gets the score of the bias alone. Rows are scored one by one, so repeated rows and
-extra columns don't matter. Without labelled rows, or with one label only, every score is that label's share (0.5 if none).
+extra columns don't matter; a label given twice counts once. Long texts are worked on window by window. No documents give no
+rows. Without labelled rows, or with one label only, every score is that label's share (0.5 if none).
 """
 
 from __future__ import annotations
@@ -22,22 +24,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import doc_text, slabs, stash
-from tidewell.llm.textkit import U64, mix
+from tidewell.llm.common import doc_text, slabs, small_batches, stash
+from tidewell.llm.textkit import U64, WINDOW, mix, windows, words_in
 
 _GRAMS = (3, 4)
-_BACK = 3
+SKIPS = 3
 _SPACES = b" \t\n\r\x0b\f"
 
 
 class Features:
-    """Hashed features of texts; the features of a word are made once per process."""
+    """Hashed features of texts."""
 
-    def __init__(self, buckets: int) -> None:
-        self.buckets = buckets
+    def __init__(self, buckets: int, skips: int = SKIPS) -> None:
+        self.buckets, self.skips = buckets, skips
 
-    def rows(self, texts: list[str | None], slab: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Per slab of texts: the text's place and the bucket of every feature occurrence, as two arrays."""
+    def rows(self, texts: list[str | None], slab: int = 2 * WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The texts' places and the buckets of feature occurrences, as two arrays; a text's may come in several parts."""
         at = 0
         while at < len(texts):
             held, size, first = [], 0, at
@@ -45,44 +47,39 @@ class Features:
                 held.append((texts[at] or "").encode("utf-8", "surrogatepass").lower() + b"\n")
                 size += len(held[-1])
                 at += 1
-            place, bucket = self._slab(held)
-            yield place + first, bucket
+            for place, hashes in self._slab(held):
+                yield place + first, (hashes % U64(self.buckets)).astype(np.int64)
 
-    def _slab(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _slab(self, raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         data = np.frombuffer(b"".join(raws), dtype=np.uint8)
+        ends = np.cumsum([len(r) for r in raws])
+        docs, words = [], []
+        for a, b in windows(data):
+            part = data[a:b]
+            doc = np.searchsorted(ends, np.arange(a, b), side="right")
+            yield from self._grams(part, doc)
+            starts, hashes = words_in(part)
+            docs.append(doc[starts])
+            words.append(hashes)
+        doc, word = np.concatenate(docs), np.concatenate(words)
+        yield doc, word
+        for k in range(1, min(self.skips, len(word) - 1) + 1):
+            same = doc[k:] == doc[:-k]
+            yield doc[k:][same], mix((word[k:] ^ word[:-k]) + U64(k))[same]
+
+    @staticmethod
+    def _grams(data: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         space = np.isin(data, np.frombuffer(_SPACES, dtype=np.uint8))
-        doc = np.repeat(np.arange(len(raws)), [len(r) for r in raws])
-        word = np.cumsum(space)  # grams and words don't cross white space
+        word = np.cumsum(space)  # grams don't cross white space
         wide = data.astype(U64) + U64(1)
-        places, hashes = [], []
         rolled = wide
         for n in range(2, max(_GRAMS) + 1):
-            rolled = rolled[:-1] * U64(0x100000001B3) + wide[n - 1 :] if len(rolled) > 1 else rolled[:0]
-            if n in _GRAMS and len(rolled):
-                whole = word[n - 1 :] == word[: len(rolled)]
-                whole &= ~space[: len(rolled)]
-                places.append(doc[: len(rolled)][whole])
-                hashes.append(mix(rolled[whole] + U64(n)))
-        edge = np.concatenate(([True], space[:-1]))
-        starts = np.flatnonzero(edge & ~space)
-        if len(starts):
-            ends = np.flatnonzero(np.concatenate((space[1:], [True])) & ~space) + 1
-            up = np.multiply.accumulate(np.concatenate((np.ones(1, dtype=U64), np.full(len(data), 0x9E3779B97F4A7C15, dtype=U64))))
-            sums = np.concatenate((np.zeros(1, dtype=U64), np.cumsum(mix(wide) * up[:-1])))
-            inverse = np.multiply.accumulate(np.concatenate((np.ones(1, dtype=U64), np.full(len(data), pow(0x9E3779B97F4A7C15, -1, 2**64), dtype=U64))))
-            words = mix((sums[ends] - sums[starts]) * inverse[starts])
-            places.append(doc[starts])
-            hashes.append(words)
-            same = doc[starts[1:]] == doc[starts[:-1]]
-            places.append(doc[starts[1:]][same])
-            hashes.append(mix(words[:-1] * U64(3) + words[1:])[same])
-            for k in range(1, _BACK + 1):  # the pair (same word, k back), whatever the word
-                again = (words[k:] == words[:-k]) & (doc[starts[k:]] == doc[starts[:-k]])
-                places.append(doc[starts[k:]][again])
-                hashes.append(np.full(int(again.sum()), k, dtype=U64))
-        if not places:
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        return np.concatenate(places), (np.concatenate(hashes) % U64(self.buckets)).astype(np.int64)
+            if len(rolled) < 2:
+                return
+            rolled = rolled[:-1] * U64(0x100000001B3) + wide[n - 1 :]
+            if n in _GRAMS:
+                whole = (word[n - 1 :] == word[: len(rolled)]) & ~space[: len(rolled)]
+                yield doc[: len(rolled)][whole], mix(rolled[whole] + U64(n))
 
 
 class Model:
@@ -130,21 +127,26 @@ def _featured(buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features(buckets)
         for pdf in slabs(batches):
-            out = []
+            parts: list[list[np.ndarray]] = [[] for _ in range(len(pdf))]
             for place, bucket in features.rows(pdf.text.tolist()):
                 order = np.argsort(place, kind="stable")
                 place, bucket = place[order], bucket[order]
                 seen, first = np.unique(place, return_index=True)
                 for i, b in zip(seen, np.split(bucket, first[1:])):
-                    at, n = np.unique(b, return_counts=True)
+                    parts[i].append(b)
+            out = []
+            for i, held in enumerate(parts):
+                if held:
+                    at, n = np.unique(np.concatenate(held), return_counts=True)
                     out.append((pdf.doc_id.iat[i], int(pdf.quality.iat[i]), at.astype("<i4").tobytes(), n.astype("<i4").tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "quality", "at", "n"])
 
     return run
 
 
-def fit(documents: DataFrame, labels: DataFrame, train_rows: int = 5000, buckets: int = 1 << 18, width: int = 8, epochs: int = 4, rate: float = 3.0, seed: int = 5) -> tuple[np.ndarray, float]:
+def fit(documents: DataFrame, labels: DataFrame, train_rows: int = 5000, buckets: int = 1 << 18, width: int = 8, epochs: int = 4, rate: float = 6.0, seed: int = 5) -> tuple[np.ndarray, float]:
     """The scoring weights learned from ``labels(doc_id, quality)``, of which the caller keeps held-out rows away."""
+    small_batches(documents.sparkSession)
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").dropDuplicates(["doc_id"])
     marked = marked.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(train_rows)
     chosen = doc_text(documents).join(F.broadcast(marked), "doc_id")  # train_rows bounds its size
@@ -180,6 +182,7 @@ def _scored(weights: np.ndarray, bias: float):
 
 def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """Columns ``doc_id, score, predicted``: the probability of label 1, and whether it is 0.5 or more."""
+    small_batches(documents.sparkSession)
     return doc_text(documents).mapInPandas(_scored(*model), "doc_id long, score double, predicted int")
 
 
@@ -201,4 +204,5 @@ def _accepted(weights: np.ndarray, bias: float, columns: list[str]):
 
 def keep_accepted(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """The rows of ``documents`` with a score of 0.5 or more, in one pass and without a join."""
+    small_batches(documents.sparkSession)
     return documents.mapInPandas(_accepted(*model, documents.columns), documents.schema)
