@@ -1,24 +1,28 @@
 """Personal data by bootstrapped contextual extraction. DataFrame operations only.
 
-Four kinds of identifiers are found by their form (email, ip, card, phone); they are the seeds. Text before a seed is a
-*lexical pattern*: its last two words, lower-cased. Other spans that look like identifiers (``MIN_DIGITS`` digits or more, no
+Four kinds of identifiers are found by their form (email, ip, card, phone) and always count. Together with hexadecimal keys of 32 digits or more,
+which are secrets only where their context says so, they are the seeds. What stands before a mention makes its
+*lexical patterns*: the word before it, and the two words before it, lower-cased and with their punctuation; words end at white
+space and behind ``=`` and ``:``. Other spans that look like identifiers (``MIN_DIGITS`` digits or more, no
 seed) are candidates with patterns of their own: a token with six digits or more, or tokens with fewer that single spaces or dots
 join, as in ``555 010 9988``. Patterns and instances make a bipartite graph that Spark scores in rounds:
 
-* a pattern's confidence is the mean score of the distinct instances it introduces, if they are ``support`` or more; its kind is
+* a pattern's confidence is the sum of the scores of the distinct instances it introduces, over their number and the number of
+  places in all texts where anything else follows it; it needs ``support`` instances. Its kind is
   the one that most of these instances have (ties: the kind listed first);
 * an instance's score is 1 for seeds, else the best confidence among its patterns of at least ``confidence``; its kind is that of
   the seed, else of its best pattern, so a pattern without a seed of its own gets a kind from lifted instances.
 
-After ``rounds`` rounds the spans that a confident pattern introduces are personal data of the pattern's kind. They are added to
-the seeds' spans, which always stay.
+After ``rounds`` rounds the mentions that a confident pattern introduces (candidates and keys) are personal data of the pattern's kind,
+of the most confident one's where there are two. They are added to the spans by form.
 
 Positions are code points, ends exclusive. Spark has no function for the places of all matches, so a text is split by the
 pattern and its gaps and matches are laid out again; expressions are written so that the matcher needs no recursion. Cards
 are found after single separators between digits are swapped for a private character, which keeps all positions.
 
-A null or empty text has no spans. Repeated rows are judged one by one, equal texts alike. Groups (a pattern that a third of
-the rows use, a value that all repeat) are aggregated before the shuffle; no list of mentions is gathered for a pattern.
+A null or empty text has no spans. Repeated rows are judged one by one, equal texts alike. A mention whose two words and span begin more
+than ``WINDOW`` characters apart has only the patterns that fit. Groups (a pattern that a third of
+the rows use, a value that all repeat) are aggregated before the shuffle, and hot ones are looked up by broadcast; no list of mentions is gathered for a pattern.
 """
 
 from __future__ import annotations
@@ -26,9 +30,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import stash
+from tidewell.llm.common import drop, join_spread, stash
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+_BASE = 4  # kinds by form
 MIN_DIGITS = 4
 _LOCAL = "A-Za-z0-9._%+-"
 EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -42,6 +47,10 @@ _SHORT = rf"[A-Za-z_-]*+(?:[0-9][A-Za-z_-]*+){{1,5}}+(?![0-9]){_END}"
 _START = r"(?<![^\x20\x09-\x0D\"'=:(\[])"
 CANDIDATE = rf"{_START}(?:{_SHORT}(?:[\x20.]{_SHORT}|\)\x20{_TOKEN})*+|{_TOKEN})"
 TOKEN = _START + _TOKEN
+KEY = r"^(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{32,}$"
+WINDOW = 200
+BROADCAST_PATTERNS = 200_000
+_WORDS = r"[\x20\x09-\x0D]+|(?<=[=:])(?=[^\x20\x09-\x0D=:/])"
 
 
 def _found(text: Column, pattern: str, shown: Column | None = None) -> Column:
@@ -85,11 +94,40 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*each), lambda a, b: F.coalesce(F.nullif(F.signum(a["start"] - b["start"]), F.lit(0.0)), F.signum(a["kind"] - b["kind"])).cast("int"))
 
 
-def _pattern(text: Column, start: Column) -> Column:
-    """The last two words before a span, lower-cased; null where there are fewer."""
-    before = F.substring(text, F.greatest(start - 79, F.lit(1)), F.least(start, F.lit(80)))
-    words = F.filter(F.split(F.lower(before), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.when(F.size(words) >= 2, F.array_join(F.slice(words, -2, 2), " "))
+def _once(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` evaluated once, as a lambda's variable."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _patterns(text: Column, start: Column) -> Column:
+    """The word before a place, and the two words before it; none if the place is inside a word."""
+    before = F.lower(F.substring(text, F.greatest(start - (WINDOW - 1), F.lit(1)), F.least(start, F.lit(WINDOW))))
+    pieces = F.split(before, _WORDS, -1)
+    # the first piece of a full window may be a part of a word
+    whole = _once(pieces, lambda p: F.when(start > WINDOW, F.slice(p, F.lit(2), F.size(p))).otherwise(p))
+    none = F.array().cast("array<string>")
+
+    def words(p: Column) -> Column:
+        last = F.element_at(p, -1)
+        opened = F.slice(p, F.lit(1), F.size(p) - 1)
+        return F.filter(F.when(F.size(p) == 0, none).when(F.rlike(last, F.lit(r"^[\"'(\[]*$")), opened).when(F.rlike(last, F.lit("[=:]$")), p).otherwise(none), lambda w: w != "")
+
+    def patterns(w: Column) -> Column:
+        one, two = F.get(w, F.size(w) - 1), F.get(w, F.size(w) - 2)
+        return F.filter(F.array(one, F.concat(two, F.lit(" "), one)), lambda x: x.isNotNull())
+
+    return _once(_once(whole, words), patterns)
+
+
+def _uses(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``pattern, uses``: how often each of ``patterns(pattern)`` is followed by a word, over all texts."""
+    n = patterns.count()
+    asked = patterns.select("pattern", F.substring_index("pattern", " ", -1).alias("b"), F.when(F.contains("pattern", F.lit(" ")), F.substring_index("pattern", " ", 1)).alias("first"))
+    words = texts.select(F.split(F.lower("text"), _WORDS, -1).alias("w"))
+    ahead = F.concat(F.array(F.lit("")), F.col("w"))
+    triples = words.select(F.inline(F.arrays_zip(ahead.alias("a"), F.col("w").alias("b"), F.slice("w", F.lit(2), F.size("w")).alias("c")))).toDF("a", "b", "c").where("c <> ''")
+    met = triples.join(F.broadcast(asked) if n <= BROADCAST_PATTERNS else asked, "b").where("first is null or first = a")
+    return met.groupBy("pattern").agg(F.count("*").alias("uses"))
 
 
 def spans_string(spans: Column) -> Column:
@@ -98,40 +136,63 @@ def spans_string(spans: Column) -> Column:
 
 
 def find_personal(documents: DataFrame, support: int = 4, confidence: float = 0.75, rounds: int = 3) -> DataFrame:
-    """Columns ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, base, added`` of ``documents(doc_id, text, ...)``.
+    """Columns ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, n_added, base, added`` of ``documents(doc_id, text, ...)``.
 
-    ``base`` and ``added`` are arrays of (start, end, kind, value).
+    ``base`` and ``added`` are arrays of (start, end, kind, value); the counts by kind are of ``base``.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("base", base_spans(F.col("text")))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = texts.withColumn("row", F.monotonically_increasing_id()).withColumn("base", base_spans(F.col("text")))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     found = lambda form, some: F.when(F.rlike("text", F.lit(some)), F.filter(_found(F.col("text"), form), lambda s: F.length(_digits(s["value"])) >= MIN_DIGITS)).otherwise(none)
     apart = lambda spans, others: F.filter(spans, lambda t: ~F.exists(others, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     rows = rows.withColumn("joined", apart(found(CANDIDATE, r"[0-9][A-Za-z0-9_-]*+\)?[\x20.]?[A-Za-z_-]*+[0-9]"), F.col("base")))
     # tokens whose longer span runs into a seed count alone
     rows = rows.withColumn("tokens", F.concat("joined", apart(apart(found(TOKEN, r"[0-9][A-Za-z0-9_-]{3}"), F.col("base")), F.col("joined"))))
-    seeds = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), _pattern(F.col("text"), s["start"]).alias("pattern")))
-    others = F.transform("tokens", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(None).cast("int").alias("kind"), s["value"].alias("value"), _pattern(F.col("text"), s["start"]).alias("pattern")))
+    mention = lambda s, kind: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind.cast("int").alias("kind"), s["value"].alias("value"), _patterns(F.col("text"), s["start"]).alias("patterns"))
+    seeds = F.transform("base", lambda s: mention(s, s["kind"]))
+    others = F.transform("tokens", lambda s: mention(s, F.when(F.rlike(s["value"], F.lit(KEY)), _BASE)))
     rows = stash(rows.select("doc_id", "row", "base", F.concat(seeds, others).alias("mentions")), "mentions")
 
-    mentions = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*").where("pattern is not null")
-    edges = stash(mentions.groupBy("pattern", "value").agg(F.min("kind").alias("kind")), "edges")
-    scores = edges.groupBy("value").agg(F.max(F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0)).alias("score"), F.min("kind").alias("as"))
+    mentions = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
+    edges = mentions.groupBy("pattern", "value").agg(F.min("kind").alias("kind"), F.count("*").alias("mentions"))
+    edges = stash(edges, "edges")
+    known = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("mentions").alias("mentions")).where(F.col("n") >= support)
+    known = stash(known, "known")
+    uses = _uses(texts, known.select("pattern"))
+    plain = F.greatest(F.coalesce("uses", F.lit(0)) - F.col("mentions"), F.lit(0))
+    patterns = stash(known.join(uses, "pattern", "left").select("pattern", "n", "mentions", (F.col("n") + plain).alias("places")), "patterns")
+    small = join_spread(edges.select("pattern", "value", "kind"), patterns.select("pattern", F.col("n").alias("copies")), ["pattern"], "copies", edges.count())
+    old, edges = edges, stash(small, "edges")
+    drop(old, known)
+    total = edges.count()
+    scores = edges.groupBy("value").agg(F.max(F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0)).alias("score"), F.min("kind").alias("as"), F.count("*").alias("copies"))
+    scores, sure = stash(scores, "scores"), None
     for _ in range(rounds):
-        known = edges.join(scores, "value").withColumn("kind", F.coalesce("kind", "as"))
-        votes = [F.count_if(F.col("kind") == k).alias(f"v{k}") for k in range(len(KINDS))]
-        sure = known.groupBy("pattern").agg(F.avg("score").alias("belief"), F.count("*").alias("n"), *votes).where((F.col("n") >= support) & (F.col("belief") >= confidence))
+        told = join_spread(edges.select("pattern", "value"), scores, ["value"], "copies", total)
+        votes = [F.count_if(F.col("as") == k).alias(f"v{k}") for k in range(len(KINDS))]
+        judged = told.groupBy("pattern").agg(F.sum("score").alias("held"), *votes).join(patterns, "pattern")
+        judged = judged.withColumn("belief", F.col("held") / F.col("places")).where(F.col("belief") >= confidence)
         most = F.greatest(*[f"v{k}" for k in range(len(KINDS))])
-        sure = stash(sure.select("pattern", "belief", F.coalesce(*[F.when(F.col(f"v{k}") == most, k) for k in range(len(KINDS))]).alias("as")), "patterns")
-        lifted = edges.join(sure, "pattern").groupBy("value").agg(F.max(F.struct("belief", (-F.col("as")).alias("order"))).alias("best"))
+        drop(*([sure] if sure is not None else []))
+        sure = stash(judged.select("pattern", "belief", "n", "mentions", F.coalesce(*[F.when(F.col(f"v{k}") == most, k) for k in range(len(KINDS))]).alias("of")), "sure")
+        lifted = join_spread(edges.select("pattern", "value"), sure.select("pattern", "belief", "of", F.col("n").alias("copies")), ["pattern"], "copies", total)
+        lifted = lifted.groupBy("value").agg(F.max(F.struct("belief", (-F.col("of")).alias("order"))).alias("best"))
         lifted = lifted.select("value", F.col("best.belief").alias("belief"), (-F.col("best.order")).alias("of"))
         better = F.coalesce(F.col("belief") > F.col("score"), F.lit(False))
-        scores = stash(scores.join(lifted, "value", "left").select("value", F.when(better, F.col("belief")).otherwise(F.col("score")).alias("score"), F.when(better, F.col("of")).otherwise(F.col("as")).alias("as")), "scores")
-    kinds = sure.select("pattern", "as")
-    new = mentions.where("kind is null").join(kinds, "pattern").select("row", F.struct("start", "end", F.col("as").alias("kind"), "value").alias("s"))
-    new = new.groupBy(F.col("row").alias("_row")).agg(F.collect_list("s").alias("added"))
+        raised = scores.join(lifted, "value", "left").select("value", F.when(better, F.col("belief")).otherwise(F.col("score")).alias("score"), F.when(better, F.col("of")).otherwise(F.col("as")).alias("as"), "copies")
+        old, scores = scores, stash(raised, "scores")
+        drop(old)
+    open_ = mentions.where(f"kind is null or kind = {_BASE}")
+    new = join_spread(open_.drop("kind"), sure.select("pattern", "belief", "of", F.col("mentions").alias("copies")), ["pattern"], "copies", mentions.count())
+    new = new.groupBy("row", "start", "end", "value").agg(F.max(F.struct("belief", (-F.col("of")).alias("order"))).alias("best"))
+    new = new.select("row", F.struct("start", "end", (-F.col("best.order")).alias("kind"), "value").alias("s")).groupBy(F.col("row").alias("_row")).agg(F.collect_list("s").alias("added"))
+    new = stash(new, "added")
+    drop(edges, patterns, scores, sure)
     rows = rows.drop("mentions").join(new, rows.row == new._row, "left")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     added = F.coalesce("added", F.array().cast("array<struct<start:int,end:int,kind:int,value:string>>"))
     every = F.array_sort(F.concat("base", added), lambda a, b: F.coalesce(F.nullif(F.signum(a["start"] - b["start"]), F.lit(0.0)), F.signum(a["kind"] - b["kind"])).cast("int"))
-    return rows.select("doc_id", *map(count, range(4)), F.sha2(spans_string(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans_string(every).alias("spans"), "base", added.alias("added"))
+    return rows.select(
+        "doc_id", *map(count, range(_BASE)), F.sha2(spans_string(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans_string(every).alias("spans"),
+        F.size(every).cast("long").alias("n_spans"), F.size(added).cast("long").alias("n_added"), "base", added.alias("added"),
+    )
