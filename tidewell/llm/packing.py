@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import doc_text, pieces, stash, slabs
+from tidewell.llm.common import doc_text, pieces, slabs, small_batches, stash
 from tidewell.llm.transducer import transducer
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -107,7 +107,10 @@ def _packed(length: int, open_bins: int, window: int):
 
 def pack(documents: DataFrame, path: str, length: int = 4096, closing: int = 1, open_bins: int = 8192, window: int = 4096) -> DataFrame:
     """Columns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``, a row for each piece."""
+    small_batches(documents.sparkSession)
     cut = doc_text(documents).mapInPandas(_cut(path, length, closing), _PIECES)
     cut = stash(cut, "pieces")  # ids are made once; what is dealt below is some 40 bytes a piece
     streams = pieces(cut.count(), 60_000)
-    return cut.repartition(streams, F.xxhash64("doc_id")).mapInPandas(_packed(length, open_bins, window), _PIECES + ", sequence_id long, offset long")
+    # in a fixed order, so that a task that runs again gives the same sequences
+    dealt = cut.repartition(streams, F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "piece", "length", "ids_crc32")
+    return dealt.mapInPandas(_packed(length, open_bins, window), _PIECES + ", sequence_id long, offset long")

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tidewell.llm.common import doc_text, slabs
+from tidewell.llm.common import doc_text, slabs, small_batches
 from tidewell.llm.transducer import Transducer, transducer
 
 _counters: dict[str, Callable[[list], list[int]]] = {}
@@ -56,4 +56,5 @@ def _counted(path: str, limit: int):
 
 def count_tokens(documents: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """Columns ``doc_id, n_bytes, n_tokens, over_limit``, a row for each row of ``documents(doc_id, text, ...)``."""
+    small_batches(documents.sparkSession)
     return doc_text(documents).mapInPandas(_counted(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

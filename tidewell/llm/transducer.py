@@ -24,7 +24,7 @@ import numpy as np
 
 CHUNK = 1024
 SLAB = 1 << 20
-MAX_CELLS = 16_000_000
+MAX_CELLS = 8_000_000
 LONG_PIECE = 2048
 NONE = 65535  # no token yet; larger vocabularies aren't supported
 
@@ -51,23 +51,29 @@ def _lexer() -> np.ndarray:
 _TO = _lexer()
 
 
-def _classes(limit: int) -> np.ndarray:
-    """Class of each code point below ``limit``; 255 where the installed Unicode tables can't be relied on."""
-    out = np.empty(limit, dtype=np.uint8)
-    for c in range(limit):
-        kind = unicodedata.category(chr(c))
-        out[c] = 1 if kind[0] == "L" else 2 if kind[0] == "N" else 255 if kind in ("Cn", "Cs", "Co") else 3
-        if any(ord(x) >= limit for x in chr(c).lower()):
-            out[c] = 255
-    for c in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000):
-        if c < limit:
-            out[c] = 0
-    for c, k in ((39, 4), *((ord(x), 5) for x in "stmd"), (ord("r"), 6), (ord("v"), 7), (ord("l"), 8), (ord("e"), 9)):
-        out[c] = k
-    return out
+_SPACE_POINTS = {*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
+_OWN_CLASS = {39: 4, **{ord(x): 5 for x in "stmd"}, ord("r"): 6, ord("v"): 7, ord("l"): 8, ord("e"): 9}
+_UNKNOWN, _UNSURE = 254, 255
+_kind = np.full(0x110000, _UNKNOWN, dtype=np.uint8)
 
 
-_KIND = _classes(0x3000)
+def _class(c: int) -> int:
+    kind = unicodedata.category(chr(c))
+    if kind in ("Cn", "Cs", "Co"):
+        return _UNSURE
+    if c in _SPACE_POINTS:
+        return 0
+    return _OWN_CLASS.get(c) or (1 if kind[0] == "L" else 2 if kind[0] == "N" else 3)
+
+
+def classes_of(points: np.ndarray) -> np.ndarray:
+    """Class of each code point; ``_UNSURE`` where the installed Unicode tables can't be relied on. Made page by page when met."""
+    found = _kind[points]
+    if (new := found == _UNKNOWN).any():
+        for page in np.unique(points[new] >> 8).tolist():
+            _kind[page << 8 : (page + 1) << 8] = [_class(c) for c in range(page << 8, (page + 1) << 8)]
+        found = _kind[points]
+    return found
 
 
 def lex_states(cls: np.ndarray) -> np.ndarray:
@@ -232,7 +238,7 @@ class Transducer:
             rank, rights = self.rank, self._side(right, 0)
             # equal merges are done from the left: the left side's own merge wins a tie, the border's wins over the right's
             got = not any((q := rank.get((a, b))) is not None and q < at_a and q <= at_b for a, at_a in self._side(left, 1) for b, at_b in rights)
-            if len(self._stable) > 400_000:
+            if len(self._stable) > 200_000:
                 self._stable.clear()
             self._stable[left, right] = got
         return got
@@ -322,14 +328,16 @@ class Transducer:
         held, size = [], 0  # (text's place, its parts)
         for i, t in enumerate(texts):
             t = t or ""
+            special = self._special is not None and any(x in t for x in self.specials)
+            parts = self._special.split(t) if special else [t]  # before normalisation, as the library does
             if not t.isascii():
                 points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                if points.max() >= len(_KIND) or (_KIND[points] == 255).any() or not unicodedata.is_normalized("NFC", t):
+                if (classes_of(points) == _UNSURE).any():
                     found = np.array(self._library_ids(t), dtype=np.int32)
                     out[i] = found if ids else len(found)
                     continue
-                t = t.replace("Σ", "σ")  # the library lower-cases characters one by one
-            parts = self._special.split(t) if self._special and "<" in t else [t]
+                # the library lower-cases characters one by one
+                parts[::2] = [unicodedata.normalize("NFC", p).replace("Σ", "σ") for p in parts[::2]]
             held.append((i, parts))
             size += len(t) + 1
             if size >= SLAB:
@@ -345,10 +353,10 @@ class Transducer:
         raw = text.encode("utf-8")
         data = np.frombuffer(raw, dtype=np.uint8)
         points = data if len(raw) == len(text) else np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        cls = _KIND[points]
+        cls = classes_of(points)
         starts, ends = piece_bounds(cls)
         if points is not data:
-            place = np.concatenate(([0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF), dtype=np.int64)))
+            place = np.concatenate(([0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), dtype=np.int64)))
             starts, ends = place[starts], place[ends]
         limits = np.concatenate(([0], np.cumsum([len(x) + 1 if x.isascii() else len(x.encode("utf-8")) + 1 for x in lines])))
         tokens = np.zeros(len(data), dtype=np.int32) if ids else None
