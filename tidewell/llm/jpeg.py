@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 RESTART = 8
+PART = 16_384  # blocks, a megabyte; a multiple of RESTART
 _U = np.uint64
 # The format's markers.
 SOI, EOI, SOF0, DHT, DQT, DRI, SOS, COM = 0xD8, 0xD9, 0xC0, 0xC4, 0xDB, 0xDD, 0xDA, 0xFE
@@ -63,11 +64,34 @@ def _head(across: int, down: int, size: int) -> bytes:
 
 
 def write(payloads: list[bytes]) -> list[bytes]:
-    """A JPEG file for each payload; lengths are positive multiples of 64."""
+    """A JPEG file for each payload; lengths are positive multiples of 64.
+
+    Restart intervals are coded independently of one another, so a long payload is taken ``PART`` blocks at a time.
+    """
     shapes = [shape(len(p) // 64) for p in payloads]
-    body = b"".join(p + bytes([128]) * (64 * a * d - len(p)) for p, (a, d) in zip(payloads, shapes))
-    coefs = np.frombuffer(body, dtype=np.uint8).reshape(-1, 64).astype(np.int64) - 128
-    blocks = np.array([a * d for a, d in shapes])
+    scans: list[list[bytes]] = [[] for _ in payloads]
+    held: list[tuple[int, bytes, int, bool]] = []  # payload, bytes, first interval, whether the image ends here
+    size = 0
+    for i, (p, (across, down)) in enumerate(zip(payloads, shapes)):
+        blocks = across * down
+        for at in range(0, blocks, PART):
+            n = min(PART, blocks - at)
+            part = p[64 * at : 64 * (at + n)]
+            held.append((i, part + bytes([128]) * (64 * n - len(part)), at // RESTART, at + n == blocks))
+            size += n
+            if size >= PART:
+                _write_parts(held, scans)
+                held, size = [], 0
+    _write_parts(held, scans)
+    return [_head(a, d, len(p)) + b"".join(scan) + b"\xff\xd9" for p, (a, d), scan in zip(payloads, shapes, scans)]
+
+
+def _write_parts(held: list[tuple[int, bytes, int, bool]], scans: list[list[bytes]]) -> None:
+    """Append to ``scans`` the coded intervals of parts, with the restart markers between them."""
+    if not held:
+        return
+    coefs = np.frombuffer(b"".join(part for _, part, *_ in held), dtype=np.uint8).reshape(-1, 64).astype(np.int64) - 128
+    blocks = np.array([len(part) // 64 for _, part, *_ in held])
     first = np.cumsum(blocks) - blocks
     nth = np.arange(len(coefs)) - np.repeat(first, blocks)
     fresh = nth % RESTART == 0
@@ -103,17 +127,20 @@ def write(payloads: list[bytes]) -> list[bytes]:
     parts = -(-blocks // RESTART)
     part_of = np.cumsum(parts) - parts
     last = np.zeros(len(sizes), dtype=bool)
-    last[part_of + parts - 1] = True
+    ending = np.array([end for *_, end in held])
+    last[(part_of + parts - 1)[ending]] = True
     room = sizes + np.where(last, 0, 2)
     start = np.cumsum(room) - room
     out = np.empty(int(room.sum()), dtype=np.uint8)
     out[np.arange(len(data)) + np.repeat(start - (np.cumsum(sizes) - sizes), sizes)] = data
+    number = np.arange(len(sizes)) - np.repeat(part_of, parts) + np.repeat(np.array([k for _, _, k, _ in held]), parts)
     mark = np.flatnonzero(~last)
     at = start[mark] + sizes[mark]
     out[at] = 0xFF
-    out[at + 1] = 0xD0 + (mark - np.repeat(part_of, parts)[mark]) % 8
+    out[at + 1] = 0xD0 + number[mark] % 8
     edge = np.append(start, len(out))
-    return [_head(a, d, len(p)) + out[edge[k] : edge[k + m]].tobytes() + b"\xff\xd9" for p, (a, d), k, m in zip(payloads, shapes, part_of, parts)]
+    for (i, *_), k, m in zip(held, part_of, parts):
+        scans[i].append(out[edge[k] : edge[k + m]].tobytes())
 
 
 def _amplitude(v: np.ndarray, size: np.ndarray) -> np.ndarray:

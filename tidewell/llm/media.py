@@ -2,8 +2,8 @@
 
 ``encode_texts`` stores UTF-8 texts as images (see ``jpeg``); ``media_features`` takes any column of baseline JPEG files;
 ``text_media`` does both in one pass over whole texts and derives checksums. A null or empty text is stored as 64 zero bytes.
-Files that aren't baseline JPEG, and nulls, get null features. Work goes in slabs of about a megabyte, so memory follows the
-longest text and not the batch.
+Files that aren't baseline JPEG, and nulls, get null features. Work goes in slabs of about a megabyte and a long
+text is written part by part, so memory is a few times the longest text's own size.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm import jpeg
-from tidewell.llm.common import doc_text, slabs
+from tidewell.llm.common import doc_text, slabs, small_batches
 
 SLAB = 1 << 20
 _OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int"
@@ -64,6 +64,7 @@ def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def encode_texts(documents: DataFrame) -> DataFrame:
     """Columns ``doc_id, media``: every whole text as a JPEG file that holds it losslessly."""
+    small_batches(documents.sparkSession)
     return doc_text(documents).mapInPandas(_encoded, "doc_id long, media binary")
 
 
@@ -98,4 +99,5 @@ def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def text_media(documents: DataFrame) -> DataFrame:
     """Every whole text stored as JPEG and read back: sizes, checksums, and ``feature`` (dimensions and thumbnail hash)."""
+    small_batches(documents.sparkSession)
     return doc_text(documents).mapInPandas(_kept, _OUT)
