@@ -8,7 +8,8 @@ import zlib
 import numpy as np
 import pytest
 
-from tidewell.llm import jpeg, media, pii, quality
+from tidewell.llm import jpeg, media, pii, quality, textkit
+from tidewell.llm import top_k as top
 from tidewell.llm.curriculum import in_order, mix
 from tidewell.llm.top_k import top_k
 from tidewell.llm.url_filters import decide
@@ -27,6 +28,14 @@ def test_jpeg_round_trip():
         assert w % 8 == 0 and h % 8 == 0 and w * h >= len(p) and len(mark) == 16
 
 
+def test_long_payloads_are_written_in_parts(monkeypatch):
+    g = random.Random(2)
+    payloads = [bytes(g.choice([0, 127, 128, 255, 97, 32]) for _ in range(64 * n)) for n in (1, 7, 8, 9, 130, 16, 300)]
+    whole = jpeg.write(payloads)
+    monkeypatch.setattr(jpeg, "PART", 16)
+    assert jpeg.write(payloads) == whole
+
+
 def test_thumbnail_is_the_mean_grey_of_each_block():
     image = jpeg.parse(jpeg.write([bytes([200]) + b"\x80" * 63 + bytes([40]) + b"\x80" * 63])[0])
     assert jpeg.thumbnail(image, jpeg.read([image])[0]).tolist() == [[200, 40]]
@@ -100,7 +109,58 @@ def test_training_takes_all_features(spark, monkeypatch):
         bucket = np.concatenate([b for _, b in quality.Features(1 << 18).rows([text])])
         want, n = np.unique(bucket, return_counts=True)
         assert np.array_equal(at, want) and np.allclose(share, n / n.sum())
-    assert len(got[0][0][0]) > 9000 and 1 in got[0][0][0]  # bucket 1: a word again, one back
+    assert len(got[0][0][0]) > 9000
+
+
+def test_features_do_not_depend_on_windows(monkeypatch):
+    rows = ["ab abc abcd ab ab", None, "", "x" * 300 + " y y", "zz " * 200, "É é"]
+    def counted():  # noqa: E306
+        got = [[] for _ in rows]
+        for place, bucket in quality.Features(1 << 12).rows(rows):
+            for i, b in zip(place.tolist(), bucket.tolist()):
+                got[i].append(b)
+        return [sorted(x) for x in got]
+    whole = counted()
+    assert whole[1] == whole[2] == [] and len(whole[0]) == (3 + 1) + 5 + 4 + 3 + 2  # grams, words, pairs up to three apart
+    monkeypatch.setattr(quality, "windows", lambda data: textkit.windows(data, 16))
+    assert counted() == whole
+
+
+def test_one_step_of_training_is_the_gradient_s():
+    model = quality.Model(8, 3, 1)
+    table, layer = model.table.astype(float), np.random.default_rng(2).normal(size=(3, 2))
+    model.layer[:] = layer
+    at, share, y = np.array([1, 5]), np.array([0.25, 0.75], dtype=np.float32), 1
+
+    def loss(t, w, b):
+        z = (share[:, None] * t[at]).sum(axis=0) @ w + b
+        return 0.5 * -np.log(np.exp(z[y]) / np.exp(z).sum())  # one label only: half the weight
+
+    def slope(which, place, e=1e-6):
+        args = [table.copy(), layer.copy(), np.zeros(2)]
+        args[which][place] += e
+        return (loss(*args) - loss(table, layer, np.zeros(2))) / e
+
+    model.train([(at, share)], np.array([y]), epochs=1, rate=0.1, seed=0)
+    for i in np.ndindex(8, 3):
+        assert np.isclose(model.table[i], table[i] - 0.1 * slope(0, i), atol=1e-4)
+    for i in np.ndindex(3, 2):
+        assert np.isclose(model.layer[i], layer[i] - 0.1 * slope(1, i), atol=1e-4)
+    apart, bias = model.weights()
+    want = (share[:, None] * model.table[at]).sum(axis=0) @ (model.layer[:, 1] - model.layer[:, 0]) + model.bias[1] - model.bias[0]
+    assert np.isclose((apart[at] * share).sum() + bias, want, atol=1e-5)
+
+
+def test_scores_are_the_mean_of_all_features(spark):
+    weights, bias = np.random.default_rng(3).normal(size=512).astype(np.float32), 0.25
+    texts = [(1, "one two two three"), (1, "one two two three"), (2, None), (3, ""), (4, "word " * 40_000 + "end"), (5, "é" * 900_000)]
+    got = quality.score(spark.createDataFrame([(*r, 9.0) for r in texts], DOCS + ", score double"), (weights, bias)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        held = np.concatenate([b for _, b in quality.Features(512).rows([dict(texts)[r.doc_id]])])
+        z = (weights[held].astype(float).mean() if len(held) else 0.0) + bias
+        assert np.isclose(r.score, 1 / (1 + np.exp(-z))) and r.predicted == (r.score >= 0.5)
+    assert quality.score(spark.createDataFrame([], DOCS), (weights, bias)).count() == 0
 
 
 # --- URL filters
@@ -174,6 +234,25 @@ def test_top_k(spark, k):
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_of_any_numbers_widths_and_repeats(spark, monkeypatch):
+    g = np.random.default_rng(7)
+    draw = lambda n, scale: [float(x) for x in g.normal(size=n) * scale]
+    rows = [(i, draw(3, 1.0)) for i in range(90)] + [(100 + i, draw(2, 10.0**g.integers(-2, 8))) for i in range(60)]
+    rows += [(0, [0.5, 0.25, 1.0]), (0, [0.5, 0.25, 1.0]), (50, [1.0, 1.0]), (3, [9.0, 9.0, 9.0]), (3, [9.0, 9.0, 9.0])]
+    rows += [(500, [1e7, 1.0]), (501, [1e7, 0.0]), (550, [1e300, -1e300]), (551, [1e300, 1e300]), (600, [0.0]), (601, [-3.0]), (650, [0.0, 0.0]), (700, [1.0] * 5)]
+    for name, value in (("ROWS_A_BLOCK", 16), ("QUERIES_A_BLOCK", 2), ("PROBED", 3)):
+        monkeypatch.setattr(top, name, value)
+    got = sorted(tuple(r) for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), k=4).collect())
+    vec = [[int(np.floor(256 * x)) for x in v] for _, v in rows]
+    want = []
+    for q, (name, v) in enumerate(rows):
+        if name % 50 == 0:
+            held = [(-max(-(2**63 - 1), min(2**63 - 1, sum(a * b for a, b in zip(vec[q], vec[i])))), rows[i][0]) for i in range(len(rows)) if i != q and len(vec[i]) == len(v)]
+            want += [(name, n + 1, i, -s) for n, (s, i) in enumerate(sorted(held)[:4])]
+    assert got == sorted(want)
+    assert any(r[0] == 500 and r[3] >= 6553600000000000000 for r in got)
+
+
 # --- mixing
 
 def test_mix(spark):
@@ -200,6 +279,14 @@ def test_mix(spark):
     for i, r in got.items():
         assert r["size"] == sizes[i] and 0 <= r.taken <= 2 * sizes[i]
         assert (r.position is not None) == (r.taken > 0) and (r.position_again is None or r.position <= r.position_again <= 1)
+    for s in total:  # places on the source's stream: one after the other, and read when the integrated schedule is due
+        tilt = (-0.5, 0.0, 0.5)[sorted(total, key=lambda x: (x is None, x)).index(s) % 3]
+        mine = sorted((got[i] for i in sizes if source[i] == s and got[i].position is not None), key=lambda r: (r.position, r["size"] > 0))
+        at = 0
+        for r in mine:
+            share = at / target[s]
+            assert abs((1 - tilt) * r.position + tilt * r.position**2 - share) < 1e-9
+            at += r["size"]
     copies = in_order(df.withColumnRenamed("target", "_time"))
     assert copies.columns == ["doc_id", "text", "source", "_time"]
     assert copies.count() == sum((r.position is not None) + (r.position_again is not None) for r in got.values())
@@ -240,43 +327,89 @@ def test_base_spans(spark):
 
 
 def test_patterns_discover_unseen_identifiers(spark):
-    rows = [(i, f"well you can reach me at phone +1 234 555 10{i:02d} ok") for i in range(8)]
-    rows += [(100, "hello reach at phone: 5550109988 ok"), (101, "order number 123456789 ok"), (102, "at phone nothing"), (103, "at phone 555-010-9977.")]
+    rows = [(i, f"well you can reach me at phone +1 234 555 10{i:02d} ok") for i in range(12)]
+    rows += [(100, "hello reach at Phone 5550109988 ok"), (101, "order number 123456789 ok"), (102, "at phone nothing"), (103, "at phone 555-010-9977.")]
     got = {r.doc_id: r for r in pii.find_personal(spark.createDataFrame(rows, DOCS)).collect()}
     assert [[x.value for x in got[i].added] for i in (100, 101, 102, 103)] == [["5550109988"], [], [], ["555-010-9977"]]
-    assert got[100].spans == "phone:22:32" and got[0].spans.startswith("phone:")
-
-
-def brute_discovery(rows, support=4, confidence=0.75, rounds=3):
-    """Kinds of (pattern, value) from ``rows`` of (pattern, value, kind of the seed or None)."""
-    edges = {(p, v): k for p, v, k in rows}
+    assert got[100].spans == "phone:21:31" and got[0].spans.startswith("phone:") and (got[100].n_spans, got[100].n_added, got[100].n_phone) == (1, 1, 0)
+
+
+def split_words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+|(?<=[=:])(?=[^\x20\x09-\x0D=:/])", text.lower()) if w]
+
+
+def brute_discovery(texts, mentions, support=4, confidence=0.75, rounds=3):
+    """Kinds of (text, value) from ``mentions`` of (text's place, text before, value, kind of the seed or None)."""
+    of = []
+    for i, before, v, k in mentions:
+        w = split_words(before)
+        if w and re.fullmatch("[\"'(\\[]+", w[-1]):
+            w = w[:-1]
+        of.append((i, [(w[-1],), *([(w[-2], w[-1])] if len(w) > 1 else [])], v, k))
+    edges = {(p, v): k for _, ps, v, k in of for p in ps}
+    uses, places = {}, {}
+    for t in texts:
+        w = split_words(t)
+        for n in range(1, len(w)):
+            for p in ((w[n - 1],), *([(w[n - 2], w[n - 1])] if n > 1 else [])):
+                uses[p] = uses.get(p, 0) + 1
+    for p in {p for p, _ in edges}:
+        n = len({v for q, v in edges if q == p})
+        if n >= support:
+            places[p] = n + max(0, uses.get(p, 0) - sum(p in ps for _, ps, _, _ in of))
+    edges = {(p, v): k for (p, v), k in edges.items() if p in places}
     score = {v: 0.0 for _, v in edges} | {v: 1.0 for (_, v), k in edges.items() if k is not None}
     kind = {v: k for (_, v), k in edges.items() if k is not None}
     for _ in range(rounds):
         sure = {}
-        for p in {p for p, _ in edges}:
+        for p, n in places.items():
             mine = [v for q, v in edges if q == p]
-            belief = sum(score[v] for v in mine) / len(mine)
             votes = [kind[v] for v in mine if v in kind]
-            if len(mine) >= support and belief >= confidence:
-                sure[p] = belief, max(sorted({*votes}), key=votes.count)
+            if sum(score[v] for v in mine) / n >= confidence:
+                sure[p] = sum(score[v] for v in mine) / n, max(sorted({*votes}), key=votes.count)
         for v in score:
             best = max(((b, -k) for p, (b, k) in sure.items() if (p, v) in edges), default=(0, 0))
             if best[0] > score[v]:
                 score[v], kind[v] = best[0], -best[1]
-    return {(p, v): sure[p][1] for (p, v), k in edges.items() if k is None and p in sure}
+    out = {}
+    for i, ps, v, k in of:
+        best = max(((sure[p][0], -sure[p][1]) for p in ps if p in sure), default=None)
+        if best and k in (None, 4):
+            out[i] = [(v, -best[1])]
+    return out
 
 
-def test_patterns_of_a_second_hop_and_spaced_identifiers(spark):
+def test_graph_scores_match_brute_force(spark):
+    keys = ["%040x" % random.Random(i).getrandbits(160) for i in range(12)]
     near = ["555 010 9988", "AB12345", "(555) 010-7766", "555.010.6655"]
-    plain = [x.removeprefix("(") for x in near]
-    seeds = [f"+1 234 555 10{i:02d}" for i in range(24)]
-    said = [("at phone", s, 3) for s in seeds] + [("at phone", v, None) for v in plain]
-    said += [("his number", v, None) for v in plain] + [("his number", "777 888 9999", None)]
+    said = [("my phone", f"+1 234 555 10{i:02d}", 3) for i in range(24)] + [("my phone", v, None) for v in near]
+    said += [("his line", v, None) for v in near] + [("his line", "777 888 9999", None)]  # no seed stands there
     said += [("order number", v, None) for v in ("11 2222", "33 4444", "55 6666", "77 8888")]
-    raw = dict(zip(plain, near))
-    docs = [(i, f"well {p} {raw.get(v, v)} ok") for i, (p, v, _) in enumerate(said)] + [(900, "reach at phone 5550107 4111 1111 1111 1111 ok")]
-    want = brute_discovery(said + [("at phone", "5550107", None)])
-    assert ("his number", "777 888 9999") in want  # no seed stands there
-    got = {r.doc_id: [(x.value, x.kind) for x in r.added] for r in pii.find_personal(spark.createDataFrame(docs, DOCS)).collect()}
-    assert got == {i: [(v, want[p, v])] if (p, v) in want else [] for i, (p, v, _) in enumerate(said)} | {900: [("5550107", 3)]}
+    said += [('it has token = "', k, 4) for k in keys[:6]] + [('token="', "Zx81-4402-77", None), ("x Token = ", "9081726354", None)]
+    said += [("commit", k, 4) for k in keys[6:]]  # followed by other things more often than not
+    said += [("the", f"a{i}@b.example", 0) for i in range(5)] + [("the", "1234567890", None)]
+    said += [("secret:", k, 4) for k in keys[:3]] + [("secret:", "998877665544", None), ("key: '", "abc-123456", None)]
+    docs, mentions = [], []
+    for i, (before, v, k) in enumerate(said):
+        head = f"w{i} {before}" + ("" if before[-1] in "\"'(=" else " ")
+        text = f"{head}{v} ok"
+        if v.startswith("("):
+            head, v = head + "(", v[1:]
+        docs.append(text)
+        mentions.append((i, head, v, k))
+    docs += ["the commit was the one", "commit to the order", "commit it", "a token of the day", "my way", "his way"] * 2
+    want = brute_discovery(docs, mentions)
+    got = {r.doc_id: [(x.value, x.kind) for x in r.added] for r in pii.find_personal(spark.createDataFrame(list(enumerate(docs)), DOCS)).collect()}
+    assert {i: x for i, x in got.items() if x} == want
+    kinds = {said[i][0]: k for i, [(_, k)] in want.items()}
+    assert kinds["his line"] == 3 and kinds['it has token = "'] == 4 and "commit" not in kinds and "the" not in kinds and "order number" not in kinds
+
+
+def test_personal_data_in_long_and_repeated_texts(spark):
+    key = "0123456789abcdef" * 3
+    rows = [(i, f"x token = {'%040x' % (i + 10 * 16**39)} y") for i in range(6)]
+    rows += [(50, "a" * 500 + f" token = {key} " + "b " * 5000 + f"token = {key}"), (51, "a" * 500 + f" {key}"), (5, rows[5][1]), (60, None), (61, ""), (62, "\n")]
+    got = pii.find_personal(spark.createDataFrame([(*r, "s") for r in rows], DOCS + ", spans string")).collect()
+    n = {r.doc_id: r.n_added for r in got}
+    assert len(got) == len(rows) and n[50] == 2 and n[51] == 0 and sum(r.n_added for r in got if r.doc_id == 5) == 2
+    assert [(r.spans, r.n_spans) for r in got if r.doc_id >= 60] == [("", 0)] * 3

@@ -1,6 +1,7 @@
 """Transducer against the library, and packing's invariants."""
 
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -41,9 +42,22 @@ def test_ids_and_counts_are_the_library_s(library):
 
 
 def test_every_usable_code_point(library):
-    rows = [f"a{chr(c)}b {chr(c)} '{chr(c)}s{chr(c)}1" for c in range(1, 0x3000)]
-    for text, got, ref in zip(rows, t.transducer(PATH).run(rows, ids=True), library.encode_batch(rows, add_special_tokens=False)):
-        assert got.tolist() == ref.ids, ascii(text)
+    """All letters below U+3000 and all other marks and numbers; of the large blocks of letters beyond, one in 53."""
+    kind = t.classes_of(np.arange(0x110000))
+    usable = [chr(c) for c in range(1, 0x110000) if kind[c] != t._UNSURE and (c < 0x3000 or kind[c] != 1 or c % 53 == 0 or chr(c).lower() != chr(c) or unicodedata.category(chr(c)) != "Lo")]
+    rows = [f"a{x}b {x} '{x}s" for x in usable]
+    wrong = [hex(ord(x)) for x, got, ref in zip(usable, t.transducer(PATH).run(rows, ids=True), library.encode_batch(rows, add_special_tokens=False)) if got.tolist() != ref.ids]
+    assert not wrong, (len(wrong), wrong[:40])
+
+
+def test_texts_that_are_not_composed_are_normalised(library, monkeypatch):
+    g = random.Random(5)
+    marks, letters = "\u0301\u0308\u0323\u0327\u3099\u0345", "aeonAEcかハ한ᄒ\u1161\u11abé"
+    rows = ["".join(g.choice(letters) + g.choice(["", *marks]) * g.randint(1, 2) for _ in range(12)) for _ in range(600)] + ["日本語 text 한국어 🎉🎉 emoji", "<|endoftext|>é<|endoftext|>か\u3099"]
+    machine = t.Transducer(PATH)
+    monkeypatch.setattr(machine, "_library_ids", lambda text: pytest.fail("not by the transducer"))
+    for text, got in zip(rows, machine.run(rows, ids=True)):
+        assert got.tolist() == want(library, text), ascii(text)
 
 
 def test_starting_the_tables_anew_changes_nothing(monkeypatch):
