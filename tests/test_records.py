@@ -82,8 +82,23 @@ def test_small_tables(spark):
     assert stats.conflicting_tags(limits.unionByName(limits.where("tag = 'a'").withColumn("fps", F.lit(9))), "tag", ["config", "fps"]).collect()[0].fields == ["fps"]
     twice = spark.createDataFrame([("d", "r", 1, 5), ("d", "r", 2, 6)], "dataset string, robot_type string, n int, weight int")
     assert stats.without_repeats(twice, "n").head().weight == 5
-    with pytest.raises(ValueError, match="match by equality"):
-        joins.match_names(spark.createDataFrame([("a",)], "name string"), spark.range(10_001).selectExpr("string(id) AS key", "id AS pos"))
+    keys = spark.range(10_001).selectExpr("string(id * 3) AS key", "id AS pos")
+    names = spark.createDataFrame([("run/27000x",), ("a/b",), ("",)], "name string")
+    assert {r.name: r.key for r in joins.match_names(names, keys).collect()} == {"run/27000x": "0", "a/b": "b", "": ""}
+    long = keys.where("length(key) > 3").unionByName(keys.where("pos > 9990").selectExpr("'run/2' AS key", "pos + 50000 AS pos"))
+    assert {r.name: r.key for r in joins.match_names(names, long.unionByName(long.selectExpr("key", "pos + 100000 AS pos"))).collect()}["run/27000x"] == "2700"
+
+
+def test_records_and_noise(spark):
+    from tidewell.functions import vectors
+
+    row = spark.range(1).select(records.sample_record(sample_id=F.lit("s"), fps=F.lit(30), extra=F.lit(1)).alias("r")).head().r
+    assert list(row.asDict())[:3] == ["sample_id", "dataset", "dataset_dir"] and list(row.asDict())[-2:] == ["error_tags", "extra"]
+    assert (row.sample_id, row.fps, row.step_source, row.views, row.double_review, len(row)) == ("s", 30, "none", [], 0, 21)
+    x = [r.x for r in spark.range(4000).select(vectors.normal(F.col("id").cast("string")).alias("x")).collect()]
+    assert abs(sum(x) / 4000) < 0.06 and abs(sum(v * v for v in x) / 4000 - 1) < 0.1
+    qs = spark.createDataFrame([("s", 1, "q", "Which?", [str(i) for i in range(28)])], "sample_id string, n int, question_id string, question string, options array<string>")
+    assert records.question_blocks(qs).head().prompt.split("\n")[-3:] == ["Z. 25", "AA. 26", "AB. 27"]
 
 
 def test_report_order_and_guards(spark):

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.vectors import uniform
 
+_DIGITS = 4
+
 
 def rank_key(seed: int, *keys: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
@@ -25,8 +27,21 @@ def pick(df: DataFrame, key: str, seed: int, k: int) -> DataFrame:
 
 
 def pick_share(df: DataFrame, key: str, seed: int, share: float) -> DataFrame:
-    """``int(n * share)`` rows without replacement."""
-    return pick(df, key, seed, int(df.count() * share))
+    """``int(n * share)`` rows without replacement, those with the smallest hashes.
+
+    Counts by the first ``_DIGITS`` hex digits of the hash (65,536 at most) tell which of them holds the last row to take. All
+    before it are taken by a filter, and only within it rows are ranked.
+    """
+    hashed = df.withColumn("_hash", rank_key(seed, F.col(key))).withColumn("_head", F.substring("_hash", 1, _DIGITS))
+    counts = hashed.groupBy("_head").agg(F.count("*").alias("n"))
+    heads = counts.withColumn("upto", F.sum("n").over(W.orderBy("_head")))
+    want = int((counts.agg(F.sum("n")).head()[0] or 0) * share)
+    last = heads.where(F.col("upto") >= want).orderBy("_head").head() if want else None
+    if last is None:
+        return df.limit(0)
+    below = hashed.where(F.col("_head") < last["_head"])
+    edge = hashed.where(F.col("_head") == last["_head"]).orderBy("_hash", key).limit(want - (last["upto"] - last["n"]))
+    return below.unionByName(edge).drop("_hash", "_head")
 
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:

@@ -124,8 +124,8 @@ def sin_cos(v: Column) -> Column:
 
 
 def noisy(v: Column, key: Column, scale: float, seed: int, lo: Column, hi: Column) -> Column:
-    """``v`` with seeded uniform noise of +-``scale`` by dimension, clipped to [lo, hi]; the same rows give the same noise."""
-    moved = F.transform(v, lambda x, i: x + scale * (2 * uniform(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), i.cast("string"))) - 1))
+    """``v`` with seeded normal noise of deviation ``scale`` by dimension, clipped to [lo, hi]; the same rows give the same noise."""
+    moved = F.transform(v, lambda x, i: x + scale * normal(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), i.cast("string"))))
     return F.zip_with(F.zip_with(moved, lo, lambda x, y: F.greatest(x, y)), hi, lambda x, y: F.least(x, y))
 
 
@@ -134,6 +134,12 @@ def dropout(v: Column, key: Column, share: float, seed: int) -> Column:
     return F.when(uniform(F.concat_ws("|", F.lit(str(seed)), key.cast("string"))) < share, F.transform(v, lambda x: x * 0)).otherwise(v)
 
 
+def normal(text: Column) -> Column:
+    """A draw from the standard normal distribution, made from two uniform ones."""
+    radius = F.sqrt(-2 * F.log(1 - uniform(F.concat(text, F.lit("|r")))))
+    return radius * F.cos(6.283185307179586 * uniform(F.concat(text, F.lit("|a"))))
+
+
 def uniform(text: Column) -> Column:
     """A number in [0, 1) from the md5 of ``text``: its first 13 hex digits over 16^13."""
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(16**13))

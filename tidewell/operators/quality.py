@@ -22,7 +22,7 @@ def with_limits(df: DataFrame, limits: DataFrame, dataset: str = "dataset") -> D
     """Limits by exact name, else by top-level folder. A dataset that isn't listed gets the default threshold; a listed null stays null."""
     top = F.substring_index(dataset, "/", 1)
     exact, broad = limits.select(F.col("dataset").alias("_k1"), F.struct("min_frames", "threshold").alias("_l1")), limits.select(F.col("dataset").alias("_k2"), F.struct("min_frames", "threshold").alias("_l2"))
-    df = df.join(F.broadcast(exact), F.col(dataset) == F.col("_k1"), "left").join(F.broadcast(broad), top == F.col("_k2"), "left")  # a row per known dataset
+    df = df.join(exact, F.col(dataset) == F.col("_k1"), "left").join(broad, top == F.col("_k2"), "left")
     found = F.coalesce("_l1", "_l2")
     return df.withColumns({"min_frames": found["min_frames"], "threshold": F.when(found.isNull(), DEFAULT_THRESHOLD).otherwise(found["threshold"])}).drop("_k1", "_k2", "_l1", "_l2")
 
@@ -60,6 +60,22 @@ def l2_scores(frames: DataFrame, key: str = "episode", frame: str = "frame", sta
     return whole.join(mean, key, "left").select(key, "n_frames", score.alias("l2_score"))
 
 
+def normalised_series(frames: DataFrame, key: str = "episode", frame: str = "frame", state: str = "state", action: str = "action") -> DataFrame:
+    """``key, frame, dim, state, action`` scaled as ``l2_scores`` does, for plots.
+
+    Inactive dimensions, and episodes under two frames or without an active dimension, keep their own values.
+    """
+    both = F.arrays_zip(F.col(state).cast("array<double>").alias("s"), F.col(action).cast("array<double>").alias("a"))
+    cells = frames.select(key, frame, F.posexplode(both).alias("dim", "v")).select(key, frame, "dim", F.col("v.s").alias("s"), F.col("v.a").alias("a"))
+    dims = cells.groupBy(key, "dim").agg(
+        F.least(F.min("s"), F.min("a")).alias("lo"), F.greatest(F.max("s"), F.max("a")).alias("hi"), F.stddev_pop("s").alias("ds"), F.stddev_pop("a").alias("da"), F.count("*").alias("n")
+    )
+    active = (F.col("n") >= 2) & (F.col("hi") - F.col("lo") >= 0.05) & ~((F.col("ds") < 1e-3) & (F.col("da") < 1e-3))
+    rows = cells.join(dims.select(key, "dim", "lo", "hi", active.alias("active")), [key, "dim"])
+    scaled = lambda x: F.when(F.col("active"), (F.col(x) - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.col(x))
+    return rows.select(key, frame, "dim", scaled("s").alias("state"), scaled("a").alias("action"))
+
+
 def l2_reason(score: Column, threshold: Column) -> Column:
     """Null if the score is fine. NaN is tested first: in Spark it is larger than everything."""
     return F.when(score.isNull(), "no_valid_frames").when(F.isnan(score), "score_not_a_number").when(score > threshold, "l2_above_threshold")

@@ -11,6 +11,20 @@ from tidewell.functions import text
 
 # Step texts that stand for nothing.
 PLACEHOLDERS = ["", "none", "[none]", "null"]
+# The fields of a sample's record in their order, each with the SQL of its default.
+RECORD = {
+    "sample_id": "CAST(NULL AS STRING)", "dataset": "CAST(NULL AS STRING)", "dataset_dir": "CAST(NULL AS STRING)", "views": "CAST(array() AS ARRAY<STRING>)",
+    "videos": "CAST(map() AS MAP<STRING, STRING>)", "instruction_raw": "CAST(NULL AS STRING)", "duration_sec": "CAST(NULL AS DOUBLE)", "fps": "CAST(NULL AS INT)",
+    "resolution": "CAST(NULL AS STRING)", "robot_type": "CAST(NULL AS STRING)", "has_raw_steps": "0", "step_source": "'none'", "steps_raw": "CAST(NULL AS ARRAY<STRING>)",
+    "task_type": "CAST(NULL AS STRING)", "object_categories": "CAST(NULL AS ARRAY<STRING>)", "review_level": "CAST(NULL AS STRING)", "review_time_min": "CAST(NULL AS DOUBLE)",
+    "review_outcome": "CAST(NULL AS STRING)", "double_review": "0", "error_tags": "CAST(array() AS ARRAY<STRING>)",
+}
+
+
+def sample_record(**given: Column) -> Column:
+    """A sample's record: ``RECORD`` in its order, with its defaults for what isn't given, then what else is given."""
+    fields = [(name, given.pop(name, F.expr(default))) for name, default in RECORD.items()]
+    return F.struct(*[value.alias(name) for name, value in [*fields, *given.items()]])
 
 
 def real_steps(steps: Column) -> Column:
@@ -84,9 +98,9 @@ def remapped_answers(answers: Column, ids: Column) -> Column:
 
 
 def question_blocks(questions: DataFrame, key: str = "sample_id", order: str = "n") -> DataFrame:
-    """One prompt part per sample: numbered questions, their options lettered."""
-    letters = F.array(*[F.lit(c) for c in "ABCDEFGH"])
-    options = F.array_join(F.transform("options", lambda o, i: F.concat(F.get(letters, i), F.lit(". "), o)), "\n")
+    """One prompt part per sample: numbered questions, their options lettered A to Z, then AA, AB and so on."""
+    letter = lambda i: F.concat(F.when(i >= 26, F.char(64 + F.floor(i / 26))).otherwise(""), F.char(65 + i % 26))
+    options = F.array_join(F.transform("options", lambda o, i: F.concat(letter(i), F.lit(". "), o)), "\n")
     block = F.concat_ws("\n", F.concat(F.lit("["), "question_id", F.lit("] "), "question"), F.nullif(F.coalesce(options, F.lit("")), F.lit("")))
     rows = questions.select(key, F.struct(F.col(order).alias("n"), block.alias("b")).alias("s"))
     return rows.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["b"]), "\n\n").alias("prompt"))

@@ -85,6 +85,27 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     return total.withColumn("ties", ties.scalar()).select(F.round(h / (1 - F.col("ties") / (F.expr("CAST(N AS DOUBLE) * N * N - N"))), 6).alias("h"))
 
 
+def answer_matrix(questions: DataFrame, answers: DataFrame, models: list[str], key: str = "question_id") -> DataFrame:
+    """A row per question with the map of each model's answer; null where a model has none. Of repeated answers the last in ``n`` counts."""
+    last = answers.where(F.col("model").isin(models)).groupBy(key, "model").agg(F.max_by("answer", "n").alias("answer"))
+    per = last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("model", "answer"))).alias("_given"))
+    given = F.map_from_arrays(F.array(*map(F.lit, models)), F.array(*[F.try_element_at("_given", F.lit(m)) for m in models]))
+    return questions.join(per, key, "left").withColumn("answers", given).drop("_given")
+
+
+def token_usage(stages: DataFrame, by: list[str]) -> DataFrame:
+    """Prompt, completion and total tokens summed over stages; a stage without a count adds nothing."""
+    return stages.groupBy(*by).agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).cast("long").alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")])
+
+
+def first_wrong(results: DataFrame, by: list[str], order: str, n: int = 5, correct: str = "correct") -> DataFrame:
+    """The first ``n`` wrong answers of each group."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy(*by).orderBy(order)
+    return results.where(~F.col(correct)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+
 def in_report_order(rows: DataFrame, fixed: list[str]) -> DataFrame:
     """An accuracy report as it is read: overall first, answer types in a fixed order, the rest by size."""
     place = F.array_position(F.array(*map(F.lit, fixed)), F.col("value"))

@@ -66,6 +66,13 @@ def l2_summary(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("n", "n_inf", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
 
 
+@query(_L2.rsplit(",\nf AS", 1)[0] + """ SELECT episode, CAST(frame AS INTEGER) AS frame, CAST(dim AS INTEGER) AS dim, round(CASE WHEN ok THEN (s - lo) / (hi - lo) ELSE s END, 6) AS state, round(CASE WHEN ok THEN (a - lo) / (hi - lo) ELSE a END, 6) AS action
+FROM (SELECT c.*, lo, hi, n >= 2 AND hi - lo >= 0.05 AND NOT (ds < 1e-3 AND da < 1e-3) AS ok FROM c JOIN d USING (episode, dim))""")
+def normalised_series(spark: SparkSession, folder: str) -> DataFrame:
+    out = quality.normalised_series(episode_frames(spark, folder))
+    return out.select("episode", "frame", "dim", F.round("state", 6).alias("state"), F.round("action", 6).alias("action"))
+
+
 @query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net, l_returnflag || '/' || l_linestatus AS state FROM lineitem WHERE l_quantity >= 10")
 def scan_projection(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").where("l_quantity >= 10").select("l_orderkey", "l_linenumber", F.round(F.expr("l_extendedprice * (1 - l_discount)"), 4).alias("net"), F.concat_ws("/", "l_returnflag", "l_linestatus").alias("state"))
@@ -175,26 +182,22 @@ def label_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return joins.pairs_within(rows.select(F.col("label").alias("grp"), "vec_id", "traj"), "grp", "vec_id", ["traj"])
 
 
-def first_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of the first 300 vectors only, as ``_PAIR_SQL`` has them; queries without an SQL twin take ``label_pairs``."""
-    return label_pairs(spark, folder).where("a < 300 AND b < 300")
-
-
-_PAIR_SQL = "p AS (SELECT x.label AS grp, x.vec_id AS a, y.vec_id AS b, CAST(x.embedding AS DOUBLE[]) AS u, CAST(y.embedding AS DOUBLE[]) AS v FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id WHERE x.vec_id < 300 AND y.vec_id < 300)"
+_PAIR_SQL = "p AS (SELECT x.label AS grp, x.vec_id AS a, y.vec_id AS b, CAST(x.embedding AS DOUBLE[]) AS u, CAST(y.embedding AS DOUBLE[]) AS v FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id)"
 
 
 @query(f"WITH {_PAIR_SQL} SELECT grp, a, b, round(list_distance(u, v), 6) AS d FROM p")
 def all_pairs(spark: SparkSession, folder: str) -> DataFrame:
     from tidewell.functions.vectors import minus, norm
 
-    return first_pairs(spark, folder).select("grp", "a", "b", F.round(norm(minus(F.col("traj_a"), F.col("traj_b"))), 6).alias("d"))
+    return label_pairs(spark, folder).select("grp", "a", "b", F.round(norm(minus(F.col("traj_a"), F.col("traj_b"))), 6).alias("d"))
 
 
-@query(f"WITH {_PAIR_SQL} SELECT a, b, round(abs(u[1] - v[1]) + abs(u[2] - v[2]), 6) AS d FROM p WHERE a % 2 = 0 AND b % 3 <> 0")
+@query(f"WITH {_PAIR_SQL} SELECT a, b, round(abs(u[1] - v[1]) + abs(u[2] - v[2]), 6) AS d FROM p WHERE u[3] > 0 AND v[4] > 0")
 def two_side_sum(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = first_pairs(spark, folder)
-    side = lambda k: pairs.select("a", "b", F.abs(F.get("traj_a", F.lit(k)) - F.get("traj_b", F.lit(k))).alias("d"))
-    return joins.two_sides(side(0).where("a % 2 = 0"), side(1).where("b % 3 <> 0"), ["a", "b"]).withColumn("d", F.round("d", 6))
+    pairs = label_pairs(spark, folder)
+    side = lambda k, there: pairs.where(there).select("a", "b", F.abs(F.get("traj_a", F.lit(k)) - F.get("traj_b", F.lit(k))).alias("d"))
+    # a side is there only for some of the pairs
+    return joins.two_sides(side(0, F.get("traj_a", F.lit(2)) > 0), side(1, F.get("traj_b", F.lit(3)) > 0), ["a", "b"]).withColumn("d", F.round("d", 6))
 
 
 @query(f"WITH {_PAIR_SQL}, d AS (SELECT grp, list_distance(u, v) AS d FROM p) SELECT grp, round(min(d), 6) AS min_d, round(max(d), 6) AS max_d, round(avg(d), 6) AS mean_d, round(stddev_pop(d), 6) AS std_d, count(*) AS n_pairs FROM d GROUP BY grp")
@@ -202,7 +205,7 @@ def matrix_stats(spark: SparkSession, folder: str) -> DataFrame:
     from tidewell.functions.vectors import minus, norm
     from tidewell.operators.trajectories import edge_stats
 
-    edges = first_pairs(spark, folder).select("grp", "a", "b", norm(minus(F.col("traj_a"), F.col("traj_b"))).alias("d"))
+    edges = label_pairs(spark, folder).select("grp", "a", "b", norm(minus(F.col("traj_a"), F.col("traj_b"))).alias("d"))
     out = edge_stats(edges)
     return out.select("grp", *[F.round(c, 6).alias(c) for c in ("min_d", "max_d", "mean_d", "std_d")], "n_pairs")
 

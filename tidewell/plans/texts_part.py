@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import text
-from tidewell.operators import conversations, reports, scoring
+from tidewell.operators import conversations, records, reports, scoring
 from tidewell.sources import sinks
 from tidewell.sources.tables import table
 
@@ -132,11 +132,12 @@ def count_sanity(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.counts_hold(_scored(spark, folder)).agg(F.count("*").alias("n"), F.count_if("facts_ok").alias("facts_ok"), F.count_if("claims_ok").alias("claims_ok"))
 
 
-@query("""WITH e AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 11 <> 0), u AS (SELECT l_orderkey AS k FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 13 <> 0)
+@query("""WITH e AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'P'), u AS (SELECT l_orderkey AS k FROM lineitem WHERE l_returnflag <> 'A')
 SELECT DISTINCT k, 'unknown' AS fault FROM u WHERE k NOT IN (SELECT k FROM e) UNION ALL SELECT k, 'missing' FROM e WHERE k NOT IN (SELECT k FROM u) UNION ALL SELECT k, 'duplicate' FROM u GROUP BY k HAVING count(*) > 1""")
 def fact_id_integrity(spark: SparkSession, folder: str) -> DataFrame:
-    expected = table(spark, folder, "orders").where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("k"))
-    used = table(spark, folder, "lineitem").where("l_linenumber <= 2 AND l_orderkey % 13 <> 0").select(F.col("l_orderkey").alias("k"))
+    """Orders that aren't pending are expected, lines that weren't returned use them."""
+    expected = table(spark, folder, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("k"))
+    used = table(spark, folder, "lineitem").where("l_returnflag <> 'A'").select(F.col("l_orderkey").alias("k"))
     return scoring.id_faults(expected, used, ["k"])
 
 
@@ -200,9 +201,9 @@ def path_template(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select("o_orderkey", text.episode_path(F.col("o_orderkey"), 1000).alias("path"))
 
 
-@query("SELECT doc_id, round(n_chars / nullif(doc_id % 31, 0), 3)::DOUBLE AS seconds, CASE WHEN doc_id % 5 <> 0 THEN n_chars || 'x' || doc_id END AS resolution FROM documents WHERE doc_id % 31 IN (0, 3, 7, 11)")
+@query("SELECT doc_id, round_even(n_chars / nullif(doc_id % 31, 0), 3)::DOUBLE AS seconds, CASE WHEN doc_id % 5 <> 0 THEN n_chars || 'x' || doc_id END AS resolution FROM documents")
 def resolution_duration(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "documents").where("doc_id % 31 IN (0, 3, 7, 11)")
+    rows = table(spark, folder, "documents")
     return rows.select("doc_id", text.duration(F.col("n_chars"), F.col("doc_id") % 31).alias("seconds"), text.resolution(F.col("n_chars"), F.when(F.col("doc_id") % 5 != 0, F.col("doc_id"))).alias("resolution"))
 
 
@@ -301,3 +302,41 @@ def hourly_events(spark: SparkSession, folder: str) -> DataFrame:
     from tidewell.streaming.flows import hourly
 
     return hourly(table(spark, folder, "events")).select("event_type", "hour", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH q AS (SELECT DISTINCT l_partkey AS question_id FROM lineitem), a AS (SELECT l_partkey AS question_id, l_linestatus AS model, arg_max(l_returnflag, l_orderkey * 10 + l_linenumber) AS answer FROM lineitem GROUP BY ALL)
+SELECT question_id, max(answer) FILTER (model = 'F') AS f, max(answer) FILTER (model = 'O') AS o, max(answer) FILTER (model = 'none') AS none FROM q LEFT JOIN a USING (question_id) GROUP BY question_id""")
+def answer_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as questions, line states as models, a line's return flag as the answer; one model has answered nothing."""
+    lines = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("question_id"), F.col("l_linestatus").alias("model"), F.col("l_returnflag").alias("answer"), F.expr("l_orderkey * 10 + l_linenumber").alias("n"))
+    out = reports.answer_matrix(lines.select("question_id").distinct(), lines, ["F", "O", "none"])
+    return out.select("question_id", *[F.element_at("answers", m).alias(m.lower()) for m in ("F", "O", "none")])
+
+
+@query(f"SELECT conv_id, CAST(sum(CASE WHEN role = 'user' THEN {_W} ELSE 0 END) AS BIGINT) AS prompt_tokens, CAST(sum(CASE WHEN role = 'user' THEN 0 ELSE {_W} END) AS BIGINT) AS completion_tokens, CAST(sum({_W}) AS BIGINT) AS total_tokens FROM conversations GROUP BY conv_id")
+def token_usage(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns as stages, their words as tokens; a user's are the prompt, the others have no such count."""
+    n, user = text.words(F.col("text")), F.col("role") == "user"
+    rows = table(spark, folder, "conversations").select("conv_id", F.when(user, n).alias("prompt_tokens"), F.when(~user, n).alias("completion_tokens"), n.alias("total_tokens"))
+    return reports.token_usage(rows, ["conv_id"])
+
+
+@query(f"WITH {_R} SELECT capability, doc_id, CAST(row_number() OVER (PARTITION BY capability ORDER BY doc_id) AS INTEGER) AS place FROM r WHERE ok = 0 QUALIFY place <= 5")
+def first_wrong(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.first_wrong(_results(spark, folder), ["capability"], "doc_id").select("capability", "doc_id", "place")
+
+
+@query("SELECT page_id, CAST(page_id AS VARCHAR) AS sample_id, split_part(url, '/', 3) AS dataset, length(html) / 30.0::DOUBLE AS duration_sec, 30 AS fps, 'none' AS step_source, 0 AS has_raw_steps, 0 AS n_tags FROM pages")
+def sample_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as samples: their records with what is known of them, the rest by default."""
+    record = records.sample_record(sample_id=F.col("page_id").cast("string"), dataset=F.split_part("url", F.lit("/"), F.lit(3)), duration_sec=F.length("html") / 30, fps=F.lit(30))
+    rows = table(spark, folder, "pages").select("page_id", record.alias("r"))
+    return rows.select("page_id", *[F.col(f"r.{c}").alias(c) for c in ("sample_id", "dataset", "duration_sec", "fps", "step_source", "has_raw_steps")], F.size("r.error_tags").alias("n_tags"))
+
+
+@query("""WITH b AS (SELECT l_orderkey AS k, l_linenumber AS n, '[' || l_linenumber || '] part ' || l_partkey || chr(10) || 'A. ' || l_linestatus || chr(10) || 'B. ' || l_returnflag AS b FROM lineitem)
+SELECT k, string_agg(b, chr(10) || chr(10) ORDER BY n, b) AS prompt FROM b GROUP BY k""")
+def question_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as samples, lines as questions with two options."""
+    rows = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", F.col("l_linenumber").cast("string").alias("question_id"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("question"), F.array("l_linestatus", "l_returnflag").alias("options"))
+    return records.question_blocks(rows, "k", "l_linenumber")

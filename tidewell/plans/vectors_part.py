@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import frames, picks, rotations, vectors
 from tidewell.operators import reports, stats, trajectories
-from tidewell.plans.episodes_part import _PAIR_SQL, first_pairs, label_pairs
+from tidewell.plans.episodes_part import _PAIR_SQL, label_pairs
 from tidewell.sources.tables import table
 
 QUERIES: dict = {}
@@ -187,11 +187,11 @@ def geodesic_cost(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_PAIR_SQL} SELECT a, b, round(sqrt((u[1]-v[1])**2 + (u[2]-v[2])**2 + (u[3]-v[3])**2) + 100 * abs(u[4] - v[4]), 6) AS cost FROM p")
 def joint_cost(spark: SparkSession, folder: str) -> DataFrame:
-    return first_pairs(spark, folder).select("a", "b", F.round(rotations.joint_cost(F.slice("traj_a", 1, 4), F.slice("traj_b", 1, 4)), 6).alias("cost"))
+    return label_pairs(spark, folder).select("a", "b", F.round(rotations.joint_cost(F.slice("traj_a", 1, 4), F.slice("traj_b", 1, 4)), 6).alias("cost"))
 
 
 _DTW = f"""WITH RECURSIVE {_PAIR_SQL},
-c AS (SELECT a, b, i, j, sqrt(list_sum(list_transform(range(1, 8), lambda k: (u[8*i + k] - v[8*j + k]) ** 2))) + 100 * abs(u[8*i + 8] - v[8*j + 8]) AS c FROM p, range(8) x(i), range(8) y(j) WHERE a < 60 AND b < 60),
+c AS (SELECT a, b, i, j, sqrt(list_sum(list_transform(range(1, 8), lambda k: (u[8*i + k] - v[8*j + k]) ** 2))) + 100 * abs(u[8*i + 8] - v[8*j + 8]) AS c FROM p, range(8) x(i), range(8) y(j)),
 m AS (SELECT a, b, max(CASE WHEN true THEN 0 END) AS z, list(c ORDER BY i, j) AS c FROM c GROUP BY a, b),
 d AS (SELECT a, b, c, 0 AS s, [0.0::DOUBLE] || list_resize([]::DOUBLE[], 8, 'inf'::DOUBLE) AS prev, []::DOUBLE[] AS cur FROM m
  UNION ALL SELECT a, b, c, s + 1,
@@ -203,8 +203,7 @@ SELECT a, b, round(prev[9], 6) AS d FROM d WHERE s = 64"""
 
 @query(_DTW)
 def dtw_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = first_pairs(spark, folder).where("a < 60 AND b < 60")
-    return trajectories.pair_distances(pairs, 8, kind="joint", normalized=False).select("a", "b", F.round("d", 6).alias("d"))
+    return trajectories.pair_distances(label_pairs(spark, folder), 8, kind="joint", normalized=False).select("a", "b", F.round("d", 6).alias("d"))
 
 
 @query()
