@@ -36,7 +36,10 @@ MOST_BITS = 1 << 26  # 8 MB
 
 def lines_of(text: Column) -> Column:
     """The lines of a text, lower-cased, without white space at their ends and with single spaces inside."""
-    return F.split(F.regexp_replace(F.lower(text), _GAP, " "), "\n", -1)
+    low, untidy = F.lower(text), F.lit(False)
+    for mark in ("  ", "\t", "\x0b", "\f", "\r"):  # most texts have none, and searching is cheaper than replacing
+        untidy = untidy | F.contains(text, F.lit(mark))
+    return F.split(F.when(untidy, F.regexp_replace(low, _GAP, " ")).otherwise(low), "\n", -1)
 
 
 def _units(line: Column, by_word: Column) -> Column:
@@ -97,8 +100,8 @@ def _near(documents: DataFrame, first: DataFrame, exact_words: int, characters:
     size = 64 * max(1, min(MOST_BITS, 16 * lines.count()) // 64)
     spot = F.pmod("h", F.lit(size))
     marks = stash(bitmap(lines.select(spot.alias("spot")), size // 64), "line-marks")
-    texts = _lines(documents, exact_words, characters).select("line", F.xxhash64("line").alias("h"))
-    texts = texts.withColumn("marks", marks.scalar()).where(is_set(F.col("marks"), spot)).groupBy("h").agg(F.first("line").alias("line"))
+    texts = documents.select(F.explode(lines_of(F.col("text").cast("string"))).alias("line")).select(F.trim("line").alias("line"))
+    texts = texts.withColumns({"h": F.xxhash64("line"), "marks": marks.scalar()}).where(is_set(F.col("marks"), spot)).groupBy("h").agg(F.first("line").alias("line"))
     told = stash(lines.join(texts, "h").select("h", "first", "by_word", "n", _units(F.col("line"), F.col("by_word")).alias("units")), "line-units")
     drop(marks)
 
