@@ -230,6 +230,85 @@ def json_object(raw: pd.Series) -> pd.Series:
     return raw.map(one)
 
 
+_THOUGHT = r"(?s)<think>.*?</think>"
+_FENCE = r"(?s)```(?:json|JSON)?\s*\n?(.*?)\n?\s*```"
+_FENCED_OBJECT = r"(?s)```json\s*(\{.*?\})\s*```"
+
+
+def _balanced(s: str, strings: bool) -> str | None:
+    """The first span whose braces balance; with ``strings`` those inside double quotes don't count. One pass."""
+    import re
+
+    depth, start = 0, None
+    for mark in re.finditer(r'"(?:\\.|[^"\\])*(?:"|$)|[{}]' if strings else r"[{}]", s, re.S):
+        if mark[0] == "{":
+            start = mark.start() if depth == 0 else start
+            depth += 1
+        elif mark[0] == "}":
+            depth -= 1
+            if depth == 0 and start is not None:
+                return s[start : mark.end()]
+    return None
+
+
+def _json_candidates(s: str, variant: str):
+    """What may be the JSON in an answer, in the order in which it is tried."""
+    import re
+
+    if variant != "answers":
+        s = re.sub(_THOUGHT, "", s)
+    if variant == "annotation":
+        s = s.rsplit("</think>", 1)[-1].strip()
+        for block in re.findall(_FENCE, s):
+            yield block.strip()
+            yield _balanced(block, strings=True)
+        yield s
+        yield _balanced(s, strings=True)
+    elif variant == "judge":
+        s = s.strip()
+        yield from re.findall(_FENCE, s)
+        yield s
+        yield _balanced(s[max(s.find("{"), 0) :], strings=False)
+    else:
+        fence, whole = re.search(_FENCED_OBJECT, s), re.search(r"(?s)\{.*\}", s)
+        if fence:
+            yield fence[1]
+        if whole and not (fence and variant == "answers"):
+            yield whole[0]
+
+
+def json_answer(raw: Column, variant: str) -> Column:
+    """The JSON text that a model's answer holds, or null; the variants differ in what they try.
+
+    ``annotation``: fenced blocks, whole or their first balanced object, then the whole text, then its first balanced object.
+    ``judge``: the same, but braces count inside strings and blocks must be whole. ``caption``: a fenced object, else all from the
+    first brace to the last. ``answers``: the one or the other, thoughts left in.
+    """
+    if variant not in ("annotation", "judge", "caption", "answers"):
+        raise ValueError(f"unknown variant: {variant}")
+
+    def one(s: str | None) -> str | None:
+        for found in _json_candidates(s, variant) if s else ():
+            try:
+                json.loads(found or "")
+            except (ValueError, RecursionError):
+                continue
+            return found
+        return None
+
+    def texts(column: pd.Series) -> pd.Series:
+        return column.map(one)
+
+    return F.pandas_udf(texts, T.StringType())(raw)
+
+
+def answer_map(raw: Column) -> Column:
+    """Answers by question id from a model's JSON: the object under ``answers``, or the object itself; empty without one."""
+    whole = json_answer(raw, "answers")
+    inner = F.from_json(F.coalesce(F.get_json_object(whole, "$.answers"), whole), "map<string,string>")
+    return F.coalesce(F.transform_values(inner, lambda _, v: F.trim(v)), F.create_map().cast("map<string,string>"))
+
+
 def instruction_from_id(sample_id: Column) -> Column:
     """A readable instruction from an id such as ``pickUp_redCup_012``: number off, words apart, lower case."""
     name = F.regexp_replace(sample_id, r"[_-]?\d+$", "")

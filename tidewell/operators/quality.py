@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.operators.ordered import beside, quantiles
+
 # Dataset -> (least frames, distance threshold); None means "report only".
 LIMITS = {
     "BC_Z": (41, 1.0), "Bridge": (10, 0.5), "Galaxea-Open-World-Dataset": (50, 0.5), "RT-1": (12, 0.5), "RDT-yhq": (30, 0.3),
@@ -102,10 +104,10 @@ def distribution(df: DataFrame, column: str, finite_only: bool = True) -> DataFr
     x = F.col(column)
     bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     value = F.when(~bad, x) if finite_only else F.when(~(x.isNull() | F.isnan(x)), x)
-    return df.agg(
-        F.count(value).alias("n"), F.count_if(F.abs(x) == float("inf")).alias("n_inf"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.stddev_pop(value).alias("std"),
-        F.min(value).alias("min"), F.max(value).alias("max"), *[F.percentile(value, F.lit(p / 100)).alias(f"p{p}") for p in (90, 95, 99)],
-    )
+    plain = df.agg(
+        F.count(value).alias("n"), F.count_if(F.abs(x) == float("inf")).alias("n_inf"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")
+    )
+    return beside(plain, quantiles(df.select(value.alias("_v")), [], "_v", {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}), [])
 
 
 def comparable_slots(slots: str | list[str]) -> list[str]:

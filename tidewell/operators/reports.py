@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.operators.ordered import running_sum
 
 def accuracy(results: DataFrame, by: list[str], correct: str = "correct") -> DataFrame:
     """Accuracy overall and by each column, in one pass with grouping sets; a null value counts as ``unknown``."""
@@ -72,13 +73,11 @@ def mean_max_rank_violation(models: DataFrame) -> DataFrame:
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
-    """The Kruskal-Wallis statistic with the correction for ties, from counts per value rather than a sort of all rows in one task."""
-    from pyspark.sql import Window as W
-
-    counts = df.groupBy(value).agg(F.count("*").alias("t"))
-    below = F.coalesce(F.sum("t").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn("rank", below + (F.col("t") + 1) / 2)
-    ranked = df.join(ranks, value).groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("n"))
+    """The Kruskal-Wallis statistic with the correction for ties, from counts by group and value; rows without a value or group take no part."""
+    pairs = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    counts = pairs.groupBy(value).agg(F.sum("n").alias("t"))
+    ranks = running_sum(counts, [], value, "t", "upto").select(value, (F.col("upto") - (F.col("t") - 1) / 2).alias("rank"))
+    ranked = pairs.join(ranks, value).groupBy(group).agg(F.sum(F.col("rank") * F.col("n")).alias("r"), F.sum("n").alias("n"))
     total = ranked.agg(F.sum("n").alias("N"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"))
     ties = counts.agg(F.sum(F.expr("CAST(t AS DOUBLE) * t * t - t")).alias("ties"))
     h = 12 / (F.col("N") * (F.col("N") + 1.0)) * F.col("s") - 3 * (F.col("N") + 1)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewell.operators.ordered import running_sum
 
 def runs(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """``key, run, value, start, end, n``: maximal runs of equal values (nulls equal each other); start and end are values of the first order column."""
@@ -56,9 +57,8 @@ def _gathered(w, value: str, offsets: list[int], edge):
 
 
 def start_offsets(df: DataFrame, key: str, order: str, length: str) -> DataFrame:
-    """Exclusive running sum of lengths within a key."""
-    w = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("offset", F.coalesce(F.sum(length).over(w), F.lit(0)))
+    """Exclusive running sum of lengths within a key; the order is a number that doesn't repeat within it."""
+    return running_sum(df, [key], order, length, "offset").withColumn("offset", F.col("offset") - F.coalesce(F.col(length), F.lit(0)))
 
 
 def expand_steps(df: DataFrame, length: str) -> DataFrame:

@@ -7,14 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions.picks import draws
+from tidewell.operators.ordered import beside, quantiles
 
 
 def by_dimension(df: DataFrame, vector: str, by: list[str]) -> DataFrame:
-    """``by, dim, mean, std, min, max, q01, q99``: a group per dimension, so no aggregate holds whole vectors."""
+    """``by, dim, mean, std, min, max, q01, q99, n``: a group per dimension, so no aggregate holds whole vectors or all of its values."""
     cells = df.select(*by, F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "x"))
-    return cells.groupBy(*by, "dim").agg(
-        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.percentile("x", F.lit(0.01)).alias("q01"), F.percentile("x", F.lit(0.99)).alias("q99"), F.count("*").alias("n")
-    )
+    plain = cells.groupBy(*by, "dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.count("*").alias("n"))
+    return beside(plain, quantiles(cells, [*by, "dim"], "x", {"q01": 0.01, "q99": 0.99}), [*by, "dim"])
 
 
 def as_arrays(stats: DataFrame, by: list[str]) -> DataFrame:
@@ -26,7 +26,7 @@ def as_arrays(stats: DataFrame, by: list[str]) -> DataFrame:
 
 def with_stats(df: DataFrame, vector: str) -> DataFrame:
     """Rows with the statistics of all rows as array columns: a single row, read as a subquery."""
-    whole = as_arrays(by_dimension(df.withColumn("_all", F.lit(1)), vector, ["_all"]), ["_all"])
+    whole = as_arrays(by_dimension(df, vector, []), [])
     names = ("mean", "std", "min", "max", "q01", "q99")
     packed = whole.select(F.struct(*names).alias("s"))
     return df.withColumn("_stats", packed.scalar()).withColumns({f"st_{n}": F.col("_stats")[n] for n in names}).drop("_stats")

@@ -226,6 +226,42 @@ def json_extract(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", F.get_json_object(text.json_object(raw), "$.k").cast("bigint").alias("k"))
 
 
+@query("""SELECT event_id, CAST(CASE WHEN event_id % 4 < 3 THEN props->>'$.k' END AS BIGINT) AS annotation, CAST(CASE WHEN event_id % 4 IN (0, 2) THEN props->>'$.k' END AS BIGINT) AS judge,
+ CAST(CASE WHEN event_id % 4 = 0 THEN props->>'$.k' END AS BIGINT) AS caption, CAST(CASE WHEN event_id % 4 = 0 THEN props->>'$.k' END AS BIGINT) AS answers FROM events""")
+def json_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """One answer in four forms: fenced; a brace in a string before the object; a brace after it; and an object that is cut short."""
+    forms = F.array(
+        F.concat(F.lit("<think>{no}</think> so: ```json\n"), "props", F.lit("\n``` done")), F.concat(F.lit('<think>no</think> "{" '), "props"), F.concat(F.lit("<think>no</think> "), "props", F.lit(" }")), F.regexp_replace("props", r"\}\s*$", "")
+    )
+    rows = table(spark, folder, "events").select("event_id", F.get(forms, (F.col("event_id") % 4).cast("int")).alias("raw"))
+    k = {v: F.get_json_object(text.json_answer(F.col("raw"), v), "$.k").cast("bigint").alias(v) for v in ("annotation", "judge", "caption")}
+    return rows.select("event_id", *k.values(), F.try_element_at(text.answer_map(F.col("raw")), F.lit("k")).cast("bigint").alias("answers"))
+
+
+_IDS = "WITH v AS (SELECT vec_id, vec_id // 8 AS batch, list_transform(embedding[1:1 + CAST(vec_id % 7 AS INT)], lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS ids FROM embeddings)"
+
+
+def _id_rows(spark: SparkSession, folder: str) -> DataFrame:
+    ids = F.transform(F.slice("embedding", F.lit(1), (1 + F.col("vec_id") % 7).cast("int")), lambda x: F.floor(256 * x.cast("double")))
+    rows = table(spark, folder, "embeddings").select("vec_id", F.expr("vec_id div 8").alias("batch"), ids.alias("input_ids"))
+    return rows.withColumn("labels", F.transform("input_ids", lambda x: -x))
+
+
+@query(_IDS + """, w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS n FROM v), p AS (SELECT vec_id, list_concat(ids, list_transform(range(n - len(ids)), lambda z: 99999))[1:5] AS ids, list_concat(list_transform(ids, lambda x: -x), list_transform(range(n - len(ids)), lambda z: -100))[1:5] AS labels FROM w)
+SELECT vec_id, array_to_string(ids, ',') AS ids, array_to_string(labels, ',') AS labels, len(list_filter(ids, lambda x: x <> 99999)) AS n_real FROM p""")
+def pad_batches(spark: SparkSession, folder: str) -> DataFrame:
+    rows = conversations.padded(_id_rows(spark, folder), "batch", 5, 99999)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias({"input_ids": "ids"}.get(c, c))
+    return rows.select("vec_id", joined("input_ids"), joined("labels"), F.size(F.filter("attention", lambda x: x)).cast("bigint").alias("n_real"))
+
+
+@query(_IDS + ", c AS (SELECT *, sum(len(ids)) OVER (PARTITION BY batch ORDER BY vec_id) AS upto FROM v) SELECT batch, array_to_string(flatten(list(ids ORDER BY vec_id)), ',') AS ids, '0,' || string_agg(CAST(upto AS VARCHAR), ',' ORDER BY vec_id) AS bounds FROM c GROUP BY batch")
+def flat_batches(spark: SparkSession, folder: str) -> DataFrame:
+    rows = conversations.flattened(_id_rows(spark, folder), "batch", "vec_id")
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return rows.select("batch", joined("input_ids").alias("ids"), joined("bounds").alias("bounds"))
+
+
 @query("""SELECT event_id, from_json(props, '{"k": "BIGINT"}').k AS k FROM events""")
 def json_strict(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", F.from_json("props", "k BIGINT", {"mode": "FAILFAST"})["k"].alias("k"))

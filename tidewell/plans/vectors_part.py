@@ -133,6 +133,12 @@ def quat_from_euler(spark: SparkSession, folder: str) -> DataFrame:
     return _cells(_vec(spark, folder).withColumn("g", rotations.from_euler(vectors.part(F.col("e"), 0, 3))), "g", [0, 1, 2, 3])
 
 
+@query(f"{_V} SELECT vec_id, round(qx, 6) AS x0, round(qy, 6) AS x1, round(qz, 6) AS x2, round(qw, 6) AS x3 FROM (SELECT vec_id, {_eul('e[3]', 'e[2]', 'e[1]')} FROM v)")
+def euler_convention(spark: SparkSession, folder: str) -> DataFrame:
+    """Yaw, pitch and roll in turned frames are roll, pitch and yaw in fixed ones."""
+    return _cells(_vec(spark, folder).withColumn("g", rotations.decode(vectors.part(F.col("e"), 0, 3), "euler_ypr")), "g", [0, 1, 2, 3])
+
+
 @query(f"{_V} SELECT vec_id, round(e[1], 6) AS x0, round(e[2], 6) AS x1, round(e[3], 6) AS x2 FROM v")
 def euler_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Angles to a quaternion, through all other forms, and back: the angles again."""

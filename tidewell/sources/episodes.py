@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,48 @@ def scan_frames(spark: SparkSession, root: str, columns: list[str] | None = None
     return df.withColumns({"chunk": F.regexp_extract("file_path", _EPISODE_PATH, 1).try_cast("int"), "episode_file": F.regexp_extract("file_path", _EPISODE_PATH, 2).try_cast("bigint")}).drop("file_path")
 
 
+def episode_paths(spark: SparkSession, root: str) -> DataFrame:
+    """``episode_index, path`` of all episodes, from the counts and the template in ``meta/info.json``.
+
+    If the second file (the only one, where there is one) isn't there, numbers have gaps: then the files found under ``data`` in the order of their paths.
+    """
+    info = spark.read.text(f"{root}/meta/info.json", wholetext=True).select(F.from_json("value", "total_episodes BIGINT, chunks_size BIGINT, data_path STRING").alias("i")).select("i.*").head()
+    total, size = info["total_episodes"] or 0, info["chunks_size"] or 1000
+    if not total:
+        raise FileNotFoundError(f"no episodes in {root}")
+    form, names = "", []
+    for words, name, spec, _ in Formatter().parse(info["data_path"] or "data/chunk-{episode_chunk:03d}/episode_{episode_index:06d}.parquet"):
+        form += words.replace("%", "%%") + (f"%{spec or 'd'}" if name else "")
+        names += [name] if name else []
+    index = F.col("id")
+    parts = {"episode_chunk": F.expr(f"id div {size}"), "episode_index": index}
+    paths = spark.range(total).select(index.alias("episode_index"), F.concat(F.lit(f"{root}/"), F.format_string(form, *[parts[n] for n in names])).alias("path"))
+    probe = spark._jvm.org.apache.hadoop.fs.Path(paths.where(F.col("episode_index") == min(1, total - 1)).head()["path"])
+    if probe.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(probe):
+        return paths
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "episode_*.parquet").load(f"{root}/data")
+    return found.select(F.regexp_extract("path", _EPISODE_PATH, 2).try_cast("bigint").alias("episode_index"), "path").orderBy("path")
+
+
+def read_v3_episodes(spark: SparkSession, root: str, camera: str = "observation.images.wrist") -> DataFrame:
+    """``episode_index, length, chunk_index, file_index, file_from_index, from_timestamp`` from all files of ``meta/episodes``."""
+    rows = spark.read.parquet(f"{root}/meta/episodes/*/*.parquet")
+    names = {"data/chunk_index": "chunk_index", "data/file_index": "file_index", f"videos/{camera}/from_timestamp": "from_timestamp"}
+    named = {new: F.col(f"`{old}`") for old, new in names.items()}
+    return rows.select("episode_index", "length", named["chunk_index"].alias("chunk_index"), named["file_index"].alias("file_index"), F.col("_metadata.row_index").alias("file_from_index"), named["from_timestamp"].alias("from_timestamp"))
+
+
+def scan_v3_frames(spark: SparkSession, root: str, camera: str = "observation.images.wrist") -> DataFrame:
+    """Frames of files that hold many episodes, in the file's time; only frames whose file is the one that the metadata name."""
+    frames = spark.read.parquet(f"{root}/data/*/*.parquet").select("*", "_metadata.file_path")
+    number = lambda word: F.regexp_extract("file_path", rf"{word}-(\d+)", 1).try_cast("bigint")
+    frames = frames.withColumns({"_chunk": number("/chunk"), "_file": number("/file")}).drop("file_path")
+    episodes = read_v3_episodes(spark, root, camera)
+    here = (F.col("_chunk") == F.col("chunk_index")) & (F.col("_file") == F.col("file_index"))
+    rows = frames.join(episodes.select("episode_index", "chunk_index", "file_index", "from_timestamp"), "episode_index").where(here)
+    return rows.withColumn("timestamp", F.col("timestamp") + F.col("from_timestamp")).drop("_chunk", "_file", "chunk_index", "file_index", "from_timestamp")
+
+
 def lookup_frames(frames: DataFrame, wanted: DataFrame, key: str = "episode_index") -> DataFrame:
     """Frames of the episodes in ``wanted``."""
     return frames.join(wanted.select(key).distinct(), key, "left_semi")
