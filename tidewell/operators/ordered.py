@@ -16,7 +16,7 @@ SLICES = 1024
 
 def limits(df: DataFrame, order: str) -> list[float]:
     """At most ``SLICES`` - 1 values of ``order``, a number, that part ``df`` about evenly."""
-    found = df.select(F.col(order).cast("double").alias("x")).where("NOT isnan(x)").approxQuantile("x", [k / SLICES for k in range(1, SLICES)], 0.25 / SLICES)
+    found = df.select(F.col(order).cast("double").alias("x")).where("NOT isnan(x)").approxQuantile("x", [k / SLICES for k in range(1, SLICES)], 0.5 / SLICES)
     return sorted(set(found or []))
 
 
@@ -65,10 +65,11 @@ def running_sum(df: DataFrame, by: list[str], order: str, value: str, name: str)
 def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """``*by`` and a column per name in ``shares``: exact interpolated quantiles of the values that aren't null.
 
-    Equal values are counted first; only the slices that hold a wanted rank are ordered. Groups without values have no row.
+    Slices are counted in one pass that combines on the map side; only values of the slices that hold a wanted rank are shuffled and
+    ordered, equal ones counted first. Groups without values have no row.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_x")).agg(F.count("*").alias("_n"))
-    rows, per = _with_slices(counts, by, "_x", "_n")
+    cells = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_x"), F.lit(1).alias("_n"))
+    rows, per = _with_slices(cells, by, "_x", "_n")
     keys = [*by, "_slice"]
     place = {name: (F.col("_total") - 1) * F.lit(float(p)) for name, p in shares.items()}
     holds = F.lit(False)
@@ -76,7 +77,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]
         for rank in (F.floor(p), F.ceil(p)):
             holds = holds | ((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_sum")))
     right = _right(per.where(holds).select(*keys, "_before", "_total"), keys)
-    near = rows.join(right, _same(rows, right, keys)).drop(*[f"_r_{k}" for k in keys])
+    near = rows.join(right, _same(rows, right, keys)).groupBy(*keys, "_before", "_total", "_x").agg(F.count("*").alias("_n"))
     last = F.col("_before") + F.sum("_n").over(W.partitionBy(*keys).orderBy("_x").rowsBetween(W.unboundedPreceding, 0))
     near = near.withColumn("_to", last).withColumn("_from", F.col("_to") - F.col("_n"))
     value_at = lambda rank: F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_x")))
