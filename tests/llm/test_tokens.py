@@ -10,6 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tidewell.llm import transducer as t
+from tidewell.llm.common import forget
 from tidewell.llm.packing import BestFit, pack
 from tidewell.llm.token_counts import count_tokens, counter
 
@@ -124,3 +125,12 @@ def test_best_fit_takes_the_tightest_and_closes_the_fullest():
     assert [bins.put(n) for n in (6, 7, 3, 9)] == [(0, 0), (1, 0), (1, 7), (2, 0)]
     assert bins.put(8) == (3, 0)  # sequence 2, with 1 free, closes for it
     assert bins.put(4) == (0, 6) and bins.put(1) == (3, 8)
+
+
+def test_forget_drops_compiled_tables_and_they_are_built_anew():
+    text = "some words, and 12 more"
+    first = t.transducer(PATH)
+    want = first.run([text])
+    forget()
+    assert t.transducer(PATH) is not first
+    assert t.transducer(PATH).run([text]) == want

@@ -158,3 +158,20 @@ def release() -> None:
 
 
 _libc = ctypes.CDLL(None)
+
+
+_kept: list[dict] = []
+
+
+def kept() -> dict:
+    """A cache for tables that one operator builds in a Python worker and wants again in its next task there."""
+    _kept.append({})
+    return _kept[-1]
+
+
+def forget() -> None:
+    """Empty all such caches: called where another operator's work begins, as workers are reused and an executor runs several."""
+    if any(_kept):
+        for cache in _kept:
+            cache.clear()
+        release()

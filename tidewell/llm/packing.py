@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import doc_text, pieces, slabs, small_batches, stash
+from tidewell.llm.common import doc_text, forget, pieces, slabs, small_batches, stash
 from tidewell.llm.transducer import transducer
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -85,6 +85,7 @@ def _packed(length: int, open_bins: int, window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        forget()
         bins, base = BestFit(length, open_bins), TaskContext.get().partitionId() << 40
 
         def place(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import doc_text, slabs, small_batches, stash
+from tidewell.llm.common import doc_text, forget, slabs, small_batches, stash
 from tidewell.llm.textkit import U64, WINDOW, mix, windows, words_in
 
 _GRAMS = (3, 4)
@@ -125,6 +125,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def _featured(buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         features = Features(buckets)
         for pdf in slabs(batches):
             parts: list[list[np.ndarray]] = [[] for _ in range(len(pdf))]
@@ -167,6 +168,7 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = 5000, buckets
 
 def _scored(weights: np.ndarray, bias: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         features = Features(len(weights))
         for pdf in slabs(batches):
             total, count = np.zeros(len(pdf)), np.zeros(len(pdf))

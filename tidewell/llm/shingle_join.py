@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import doc_text, drop, join_spread, pieces, slabs, small_batches, stash
+from tidewell.llm.common import doc_text, drop, forget, join_spread, pieces, slabs, small_batches, stash
 from tidewell.llm.graph import components, merged
 from tidewell.llm.textkit import U64, mix, shingle_sets
 
@@ -122,6 +122,7 @@ def _keyed(words: int, num: int, den: int, parts: int):
         return out.reindex(columns=["doc_id", "n_shingles", "lo", "hi", "part", "cells"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         tiles, seen = Tiles(num, den), OrderedDict()
         names, keys, held = [], [], 0
         for pdf in slabs(batches):
@@ -149,6 +150,7 @@ def _keyed(words: int, num: int, den: int, parts: int):
 
 def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """``key, lo`` for the cells of this task's parts that two or more different sets share."""
+    forget()
     keys, owners = [], []
     for pdf in batches:
         for part, blob in zip(pdf.part, pdf.cells):
@@ -175,6 +177,7 @@ def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _sets(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for pdf in slabs(batches):
             rows = [(node, len(s), signature(s), s.tobytes()) for node, s in zip(pdf.node, shingle_sets(pdf.text.tolist(), words))]
             yield pd.DataFrame(rows, columns=["node", "n", "sig", "shingles"])
@@ -190,6 +193,7 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
 
 def _linked(num: int, den: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for pdf in batches:
             keep = []
             for x, y in zip(pdf.shingles_a, pdf.shingles_b):

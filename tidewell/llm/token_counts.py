@@ -15,10 +15,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tidewell.llm.common import doc_text, slabs, small_batches
+from tidewell.llm.common import doc_text, kept, slabs, small_batches
 from tidewell.llm.transducer import Transducer, transducer
 
-_counters: dict[str, Callable[[list], list[int]]] = {}
+_counters: dict[str, Callable[[list], list[int]]] = kept()
 
 
 def counter(path: str) -> Callable[[list], list[int]]:

@@ -22,6 +22,8 @@ import unicodedata
 
 import numpy as np
 
+from tidewell.llm.common import kept
+
 CHUNK = 1024
 SLAB = 1 << 20
 MAX_CELLS = 16_000_000
@@ -204,7 +206,8 @@ class Transducer:
             at = self._names[key] = len(self._keys)
             self._keys.append(key)
             if at >= len(self._next):
-                self._grow(len(self._next) * 3 // 2, self._next.shape[1])
+                rows = len(self._next)  # by a half, but in small steps near the limit
+                self._grow(rows + rows // (2 if 3 * self._next.size <= 2 * MAX_CELLS else 8), self._next.shape[1])
             self._token[at] = key[1][-1][0]
         return at
 
@@ -421,11 +424,11 @@ class Transducer:
         return total
 
 
-_loaded: dict[str, Transducer] = {}
+_loaded: dict[str, Transducer] = kept()
 
 
 def transducer(path: str) -> Transducer:
-    """The compiled tokenizer of a file, kept per process with the states it has met."""
+    """The compiled tokenizer of a file, kept with the states it has met until another operator uses the process."""
     if path not in _loaded:
         _loaded[path] = Transducer(path)
     return _loaded[path]
