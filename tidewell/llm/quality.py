@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import doc_text, forget, slabs, small_batches, stash
+from tidewell.llm.common import doc_text, forget, release, slabs, small_batches, stash
 from tidewell.llm.textkit import U64, WINDOW, mix, windows, words_in
 
 _GRAMS = (3, 4)
@@ -163,7 +163,10 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = 5000, buckets
         rows.append((np.frombuffer(at, dtype="<i4"), n / n.sum()))
     model = Model(buckets, width, seed)
     model.train(rows, y, epochs, rate, seed)
-    return model.weights()
+    weights = model.weights()
+    del got, rows, model
+    release()  # thousands of small arrays, which the driver would keep
+    return weights
 
 
 def _scored(weights: np.ndarray, bias: float):
