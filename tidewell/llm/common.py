@@ -107,12 +107,13 @@ def is_set(bits: Column, spot: Column) -> Column:
     return F.call_function("shiftrightunsigned", word, (spot % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Let Arrow batches have ``rows`` rows at most: whole texts are long, and an executor runs several Python workers."""
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> None:
+    """Let Arrow batches have ``rows`` rows and about ``size`` bytes at most: whole texts are long, and an executor runs several Python workers."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name))
     if now <= 0 or now > rows:
         spark.conf.set(name, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def pieces(rows: int, per_piece: int, most: int = 1 << 20) -> int:

@@ -17,15 +17,16 @@ stable when no merge across it comes earlier than the merges that absorb its two
 from __future__ import annotations
 
 import json
+import marshal
 import re
 import unicodedata
 
 import numpy as np
 
-from tidewell.llm.common import kept
+from tidewell.llm.common import kept, release
 
 CHUNK = 1024
-SLAB = 1 << 20
+SLAB = 1 << 19
 MAX_CELLS = 16_000_000
 LONG_PIECE = 2048
 NONE = 65535  # no token yet; larger vocabularies aren't supported
@@ -168,7 +169,7 @@ class Transducer:
                 raise ValueError(f"{path}: two merges make the same entry")
             self.rank[ia, ib] = r
             self.parts[ic] = (ia, ib, r)
-        self._stable: dict[tuple[int, int], bool] = {}
+        self._stable: dict[int, bool] = {}
         self._edges: dict[tuple[int, int], list] = {}
         self._reset()
 
@@ -189,8 +190,8 @@ class Transducer:
     # --- compilation ---------------------------------------------------------------------------------------------
 
     def _reset(self) -> None:
-        self._names: dict = {}
-        self._keys: list = []
+        self._names: dict[bytes, int] = {}  # keys as bytes take a fifth of their tuples' memory
+        self._keys: list[bytes] = []
         self._column = np.full(256, -1, dtype=np.int32)
         self._columns = 0
         self._next = np.full((1024, 64), -1, dtype=np.int32)
@@ -201,10 +202,11 @@ class Transducer:
         self._state((b"", ((-1, 0),)))
 
     def _state(self, key: tuple) -> int:
-        at = self._names.get(key)
+        packed = marshal.dumps(key, 2)  # this version writes equal keys alike
+        at = self._names.get(packed)
         if at is None:
-            at = self._names[key] = len(self._keys)
-            self._keys.append(key)
+            at = self._names[packed] = len(self._keys)
+            self._keys.append(packed)
             if at >= len(self._next):
                 rows = len(self._next)  # by a half, but in small steps near the limit
                 self._grow(rows + rows // (2 if 3 * self._next.size <= 2 * MAX_CELLS else 8), self._next.shape[1])
@@ -213,8 +215,13 @@ class Transducer:
 
     def _grow(self, rows: int, columns: int) -> None:
         for name in ("_next", "_fin", "_emit", "_fin_emit"):
-            old = getattr(self, name)
-            new = np.full((rows, columns), {"_next": -1, "_fin": NONE}.get(name, 0), dtype=old.dtype)
+            old, none = getattr(self, name), {"_next": -1, "_fin": NONE}.get(name, 0)
+            if columns == old.shape[1]:  # in place: two copies of a large table would be its peak
+                n = len(old)
+                old.resize((rows, columns), refcheck=False)
+                old[n:] = none
+                continue
+            new = np.full((rows, columns), none, dtype=old.dtype)
             new[: old.shape[0], : old.shape[1]] = old
             setattr(self, name, new)
         token = np.zeros(rows, dtype=np.int32)
@@ -236,14 +243,15 @@ class Transducer:
         return got
 
     def _holds(self, left: int, right: int) -> bool:
-        got = self._stable.get((left, right))
+        border = left << 16 | right
+        got = self._stable.get(border)
         if got is None:
             rank, rights = self.rank, self._side(right, 0)
             # equal merges are done from the left: the left side's own merge wins a tie, the border's wins over the right's
             got = not any((q := rank.get((a, b))) is not None and q < at_a and q <= at_b for a, at_a in self._side(left, 1) for b, at_b in rights)
             if len(self._stable) > 400_000:
                 self._stable.clear()
-            self._stable[left, right] = got
+            self._stable[border] = got
         return got
 
     def _read(self, key: tuple, byte: int, final: bool) -> tuple[int, int, bytes]:
@@ -258,7 +266,7 @@ class Transducer:
         raise AssertionError("no token ends here")
 
     def _compile(self, state: int, byte: int) -> None:
-        key = self._keys[state]
+        key = marshal.loads(self._keys[state])
         token, count, text = self._read(key, byte, False)
         at = next((k for k in range(len(text)) if text[k:] in self.starts), len(text))
         history = (*key[1], (token, count))[at:]
@@ -267,7 +275,7 @@ class Transducer:
         self._next[state, column], self._emit[state, column] = target, count
 
     def _compile_final(self, state: int, byte: int) -> None:
-        token, count, _ = self._read(self._keys[state], byte, True)
+        token, count, _ = self._read(marshal.loads(self._keys[state]), byte, True)
         column = self._column[byte]
         self._fin[state, column], self._fin_emit[state, column] = token, count
 
@@ -398,7 +406,7 @@ class Transducer:
         state, total = 0, 0
         for p in range(start, end):
             if self._next.size > MAX_CELLS:
-                key = self._keys[state]
+                key = marshal.loads(self._keys[state])
                 self._reset()
                 state = self._state(key)
             byte = int(data[p])
@@ -431,4 +439,5 @@ def transducer(path: str) -> Transducer:
     """The compiled tokenizer of a file, kept with the states it has met until another operator uses the process."""
     if path not in _loaded:
         _loaded[path] = Transducer(path)
+        release()
     return _loaded[path]
