@@ -255,6 +255,14 @@ def test_top_k_of_any_numbers_widths_and_repeats(spark, monkeypatch):
 
 # --- mixing
 
+def test_mix_is_in_the_order_of_training(spark):
+    df = spark.createDataFrame([(k, "a b " * (k % 7), f"s{k % 3}" if k % 5 else None) for k in range(300)], "doc_id long, text string, source string").repartition(5)
+    rows = mix(df).collect()
+    keys = [(r.position is None, r.position or 0.0, r.doc_id) for r in rows]
+    assert keys == sorted(keys) and len(rows) == 300
+    assert len({r.source for r in rows[:60]}) == 4 and any(k[0] for k in keys)  # sources alternate; empty texts come last
+
+
 def test_mix(spark):
     g = random.Random(5)
     rows = [(i, "w " * g.randint(0, 60), g.choice(["a", "b", "c", "d", None])) for i in range(900)] + [(1000, None, "a"), (1001, "", None), (1002, "w " * 9000, "e")]

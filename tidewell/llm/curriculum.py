@@ -6,6 +6,8 @@ demand ``D_s(t) = T_s * ((1 - a_s) t + a_s t^2)``, which ends at ``T_s``. The do
 after the other on its stream of words; a document that begins at word ``c`` is read at the ``t`` with ``D_s(t) = c``. Beyond
 the end of the source the stream starts over once, for the second copies.
 
+The mix is range-sorted by position: the rows of ``mix`` by the time of their first copy, ``in_order`` by the time of each.
+
 Targets share ``budget`` times all words by weight; none exceeds ``most`` times its source's words, and what it can't hold is
 shared by weight among the others until none is above. That is water filling: the level is found from running sums over the
 sources in the order of ``size / weight``.
@@ -56,11 +58,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, mo
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """Columns ``doc_id, size, source_size, target, taken, position, position_again, source``.
+    """Columns ``doc_id, size, source_size, target, taken, position, position_again, source``, range-sorted by ``position``.
 
     ``taken`` counts the words that the mix takes from a document, repeats included; the positions are the times at which
-    its first and second copy are read, null where there is none.
+    its first and second copy are read, null where there is none. Documents that aren't read come last, equal positions by doc_id.
     """
+    return _placed(documents, weights, budget, most, seed).sort(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def _placed(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+    """The rows of ``mix`` in no order."""
     sized = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     sized = stash(sized.withColumn("spot", F.xxhash64(F.lit(seed), "doc_id")), "sizes")
     slices = pieces(sized.count(), 2_000, 1 << 20)
@@ -95,7 +102,7 @@ def in_order(documents: DataFrame, **how) -> DataFrame:
     """The columns of ``documents``, a row for each copy that the mix reads, range-sorted by training position."""
     columns = documents.columns
     doc, times, time = (unused(documents, n) for n in ("_doc", "_times", "_time"))
-    plan = mix(documents, **how).select(F.col("doc_id").alias(doc), F.filter(F.array("position", "position_again"), lambda x: x.isNotNull()).alias(times))
+    plan = _placed(documents, **how).select(F.col("doc_id").alias(doc), F.filter(F.array("position", "position_again"), lambda x: x.isNotNull()).alias(times))
     plan = plan.where(F.size(times) > 0).dropDuplicates([doc])
     copies = documents.join(plan, documents["doc_id"] == plan[doc]).withColumn(time, F.explode(times))
     return copies.sort(time, doc).select(*columns)
