@@ -3,10 +3,11 @@
 import random
 import re
 import time
+from pathlib import Path
 
 import pytest
 
-from tidewell.llm import common, textkit
+from tidewell.llm import common, shingle_join, textkit
 from tidewell.llm.graph import components, merged
 from tidewell.llm.line_dedup import dedup_lines, dropped_lines
 from tidewell.llm.shingle_join import Tiles, shingle_components
@@ -76,6 +77,37 @@ def test_components_of_an_empty_table(spark):
     assert shingle_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_documents_without_id_leave_the_others_ids_whole(spark):
+    rows = [(None, "a b c d"), (2**60 + 1, "a b c d"), (2**60 + 3, "A b c  d"), (-(2**60) - 5, "e f"), (None, ""), (2**60 + 7, "")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_components(spark.createDataFrame(rows, SCHEMA), 3, 9, 10).collect()}
+    assert got == brute_components([r for r in rows if r[0] is not None], 3, 9, 10)
+
+
+def shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for d in folders for f in Path(d.getPath()).rglob("shuffle_*.data") if f.stat().st_size > 1000}  # counts leave less
+
+
+def test_disk_holds_keys_and_shuffles_once(spark, monkeypatch):
+    stored, stash = [], shingle_join.stash
+    monkeypatch.setattr(shingle_join, "stash", lambda df, label: stored.append(df.columns) or stash(df, label))
+    before = shuffle_files(spark)
+    shingle_components(spark.createDataFrame(corpus(9), SCHEMA))
+    assert stored and not any("cells" in columns for columns in stored)
+    end = time.time() + 5  # files are deleted a moment after their query
+    while (left := shuffle_files(spark) - before) and time.time() < end:
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_likely_rows_hold_all_that_a_join_wants(spark):
+    keys = spark.range(0, 5000, 50).withColumnRenamed("id", "key")
+    got = {r.id for r in common.likely(spark.range(5000), "id", keys).collect()}
+    assert got >= {*range(0, 5000, 50)} and len(got) < 1000
+    assert common.likely(spark.range(5), "id", keys.where("key < 0")).count() == 0
+
+
 def test_near_sets_always_share_a_key():
     g, tiles = random.Random(4), Tiles(4, 5)
     for _ in range(300):

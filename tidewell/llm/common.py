@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import weakref
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -53,13 +54,29 @@ _scopes: list[Scope] = []
 _stashed: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """A query that starts in here deletes its shuffle files when it ends; else they stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there and a lost executor costs no rerun."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidewell-{label}-{uuid.uuid4().hex}"
     if _scopes:
         _scopes[-1].folders.add(path)
-    df.write.parquet(path)
+    with tidy_shuffles(spark):
+        df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     _stashed[back] = path
     return back
@@ -107,6 +124,18 @@ def is_set(bits: Column, spot: Column) -> Column:
     return F.call_function("shiftrightunsigned", word, (spot % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
+MOST_BITS = 1 << 26  # 8 MB
+
+
+def likely(rows: DataFrame, on: str, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``on`` isn't in ``keys(key)``, by a bitmap of a bounded size; a join follows."""
+    size = 64 * max(1, min(MOST_BITS, 16 * keys.count()) // 64)
+    spot = lambda key: F.pmod(F.xxhash64(key), F.lit(size))
+    marks = stash(bitmap(keys.select(spot("key").alias("spot")), size // 64), "marks")
+    name = unused(rows, "marks")
+    return rows.withColumn(name, marks.scalar()).where(is_set(F.col(name), spot(on))).drop(name)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> None:
     """Let Arrow batches have ``rows`` rows and about ``size`` bytes at most: whole texts are long, and an executor runs several Python workers."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

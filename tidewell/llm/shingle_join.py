@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import doc_text, drop, forget, join_spread, pieces, slabs, small_batches, stash
+from tidewell.llm.common import doc_text, drop, forget, join_spread, likely, pieces, slabs, small_batches, stash
 from tidewell.llm.graph import components, merged
 from tidewell.llm.textkit import U64, mix, shingle_sets
 
@@ -37,6 +37,8 @@ BLOCK = 1024
 HELD_KEYS = 1_000_000
 _LOW = U64((1 << 48) - 1)
 _KEYS = "doc_id long, n_shingles long, lo long, hi long, part int, cells binary"
+_MET = "doc_id long, n_shingles long, lo long, hi long, key long"
+_CELL = -1  # in the place of a set's size: this row is no document's
 _SETS = "node long, n long, sig array<long>, shingles binary"
 
 
@@ -103,7 +105,10 @@ def _name(s: np.ndarray) -> tuple[int, int]:
 
 
 def _keyed(words: int, num: int, den: int, parts: int):
-    """A row per document with its set's name, and rows of packed cell keys for each of ``parts`` parts of the key space."""
+    """A row per document with its set's name, and rows of packed cell keys for each of ``parts`` parts of the key space.
+
+    Both kinds go through one exchange, so the keys are on disk once. Numbers are never null, as pandas would make them floats.
+    """
 
     def packed(names: list[int], keys: list[np.ndarray]) -> pd.DataFrame:
         sizes = [len(k) for k in keys]
@@ -118,8 +123,7 @@ def _keyed(words: int, num: int, den: int, parts: int):
             runs = np.diff(np.append(first, b - a)).astype("<u4")
             low = (flat[a:b] & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             rows.append((int(part[a]), len(first).to_bytes(4, "little") + owner[a:b][first].astype("<i8").tobytes() + runs.tobytes() + low.tobytes()))
-        out = pd.DataFrame(rows, columns=["part", "cells"])
-        return out.reindex(columns=["doc_id", "n_shingles", "lo", "hi", "part", "cells"])
+        return pd.DataFrame(rows, columns=["part", "cells"]).assign(doc_id=0, n_shingles=_CELL, lo=0, hi=0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forget()
@@ -129,7 +133,7 @@ def _keyed(words: int, num: int, den: int, parts: int):
             rows = []
             for doc_id, s in zip(pdf.doc_id, shingle_sets(pdf.text.tolist(), words)):
                 name = _name(s)
-                rows.append((doc_id, len(s), *name))
+                rows.append((doc_id, len(s), *name, int(mix(np.array([doc_id]).astype(U64))[0]) % parts, None))
                 if len(s) and name not in seen:  # copies met before in this task have the same keys
                     names.append(name[0])
                     keys.append(tiles.keys(s))
@@ -140,8 +144,7 @@ def _keyed(words: int, num: int, den: int, parts: int):
                     if held >= HELD_KEYS:
                         yield packed(names, keys)
                         names, keys, held = [], [], 0
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "lo", "hi"])
-            yield out.reindex(columns=["doc_id", "n_shingles", "lo", "hi", "part", "cells"])
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "lo", "hi", "part", "cells"])
         if names:
             yield packed(names, keys)
 
@@ -149,10 +152,14 @@ def _keyed(words: int, num: int, den: int, parts: int):
 
 
 def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``key, lo`` for the cells of this task's parts that two or more different sets share."""
+    """``key, lo`` for the cells of this task's parts that two or more different sets share; documents' rows as they came."""
     forget()
     keys, owners = [], []
     for pdf in batches:
+        own = pdf.n_shingles != _CELL
+        if own.any():
+            yield pdf.loc[own, ["doc_id", "n_shingles", "lo", "hi"]].assign(key=0)
+            pdf = pdf[~own]
         for part, blob in zip(pdf.part, pdf.cells):
             n = int.from_bytes(blob[:4], "little")
             names = np.frombuffer(blob, dtype="<i8", count=n, offset=4)
@@ -171,6 +178,7 @@ def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
     found = pd.DataFrame({"key": key[shared].view(np.int64), "lo": owner[order[shared]]}).drop_duplicates()
     found = found[found.duplicated("key", keep=False)]  # the same set from two tasks is no meeting
+    found = found.assign(doc_id=0, n_shingles=_CELL, hi=0)
     for at in range(0, len(found), 100_000):
         yield found.iloc[at : at + 100_000]
 
@@ -252,7 +260,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     apart = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     most = F.expr("(n_a + n_b - apart) div 2")
     pairs = pairs.withColumn("apart", apart).withColumn("most", most).where(F.expr(f"most * {den} >= {num} * (n_a + n_b - most)")).select("a", "b")
-    full = sets.select("node", "shingles")
+    pairs = stash(pairs, "shingle-pairs")
+    ends = stash(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "shingle-ends")
+    full = likely(sets.select("node", "shingles"), "node", ends)
     for side in "ab":
         pairs = pairs.join(full.toDF(side, f"shingles_{side}"), side)
     return pairs.mapInPandas(_linked(num, den), "a long, b long")
@@ -267,16 +277,16 @@ def shingle_components(documents: DataFrame, words: int = 5, num: int = 4, den:
     docs = doc_text(documents)
     total = docs.count()
     parts = pieces(total, 4_000)
-    stored = stash(docs.mapInPandas(_keyed(words, num, den, parts), _KEYS), "shingle-keys")
-    keyed = stash(stored.where("doc_id is not null").select("doc_id", "n_shingles", "lo", "hi"), "shingle-names")
+    stored = docs.where("doc_id is not null").mapInPandas(_keyed(words, num, den, parts), _KEYS)
+    met = stash(stored.repartition(parts, "part").mapInPandas(_met, _MET), "shingle-names")
+    keyed = met.where(F.col("n_shingles") != _CELL).select("doc_id", "n_shingles", "lo", "hi")
     named = keyed.where("n_shingles > 0")
     nodes = named.groupBy("lo", "hi").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    cells = stored.where("part is not null").select("part", "cells").repartition(parts, "part").mapInPandas(_met, "key long, lo long")
+    cells = met.where(F.col("n_shingles") == _CELL).select("key", "lo")
     members = stash(cells.join(nodes, "lo").select("key", "node"), "shingle-cells")
-    drop(stored)
 
-    wanted = members.select("node").distinct()
-    texts = docs.join(wanted, docs.doc_id == wanted.node).select("node", "text").dropDuplicates(["node"])
+    wanted = stash(members.select("node").distinct(), "shingle-nodes")
+    texts = likely(docs, "doc_id", wanted.select(F.col("node").alias("key"))).join(wanted, F.col("doc_id") == wanted.node).select("node", "text").dropDuplicates(["node"])
     sets = stash(texts.mapInPandas(_sets(words), _SETS), "shingle-sets")
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
     star = stash(members.join(hubs, "key").where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "shingle-star")
